@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import bpe
+from trajecta.llm import bpe, jpeg_media
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,9 +21,14 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op8_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jpeg_media.read_media(jpeg_media.to_media(table(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op7_bpe_round_trip": op7_bpe_round_trip,
+        "op8_jpeg_media": op8_jpeg_media,
     }
 
 
