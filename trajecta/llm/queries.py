@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import bpe, jpeg_media
+from trajecta.llm import best_fit_pack, bpe, jpeg_media, token_store
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_store.checksums(*token_store.write(table(spark, sf_dir, "documents"), WORD_BPE, end_id=1))
+
+
 def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), WORD_BPE)
 
@@ -25,10 +29,16 @@ def op8_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg_media.read_media(jpeg_media.to_media(table(spark, sf_dir, "documents")))
 
 
+def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit_pack.pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2, capacity=1024)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op6_token_store": op6_token_store,
         "op7_bpe_round_trip": op7_bpe_round_trip,
         "op8_jpeg_media": op8_jpeg_media,
+        "op10_best_fit_pack": op10_best_fit_pack,
     }
 
 
