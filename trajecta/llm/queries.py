@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import best_fit_pack, bpe, jpeg_media, quality_rules, token_store, toxicity
+from trajecta.llm import best_fit_pack, bpe, jpeg_media, quality_rules, substring_dedup, suffix_dedup, token_store, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"), size=100)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -38,17 +42,23 @@ def op8_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jpeg_media.read_media(jpeg_media.to_media(table(spark, sf_dir, "documents")))
 
 
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(table(spark, sf_dir, "documents"), size=20)
+
+
 def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack.pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2, capacity=1024)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_suffix_dedup": op3_suffix_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_quality_rules": op5_quality_rules,
         "op6_token_store": op6_token_store,
         "op7_bpe_round_trip": op7_bpe_round_trip,
         "op8_jpeg_media": op8_jpeg_media,
+        "op9_substring_dedup": op9_substring_dedup,
         "op10_best_fit_pack": op10_best_fit_pack,
     }
 
