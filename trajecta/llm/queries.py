@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import best_fit_pack, bpe, jpeg_media, quality_rules, substring_dedup, suffix_dedup, token_store, toxicity
+from trajecta.llm import best_fit_pack, bpe, jpeg_media, minhash_dedup, quality_rules, substring_dedup, suffix_dedup, token_store, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_dedup.label(table(spark, sf_dir, "documents"), minhash_dedup.Settings(percent=85))
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"), size=100)
 
@@ -52,6 +56,7 @@ def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_dedup": op1_minhash_dedup,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_quality_rules": op5_quality_rules,
