@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajecta.llm import text as tx
+from trajecta.llm.tables import replaced
 
 MCU_BYTES = 192
 
@@ -374,10 +375,9 @@ def to_media(df: DataFrame, key: str = "doc_id", column: str = "text") -> DataFr
 def media_features(df: DataFrame, column: str = "media") -> DataFrame:
     """Any table's JPEG column read: its other columns, and width, height, thumb_hash (hex), feature; null for other bytes.
 
-    Raises ValueError if one of the new names is taken."""
+    Columns that have a new name are replaced."""
     new = ["width", "height", "thumb_hash", "feature"]
-    if taken := set(new) & set(df.columns):
-        raise ValueError(f"columns are taken: {sorted(taken)}")
+    df = replaced(df, new, column)
     rest = [f for f in df.schema.fields if f.name != column]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

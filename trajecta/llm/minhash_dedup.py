@@ -10,8 +10,8 @@ looked for, so no group is expanded into its pairs, and there is no cap on bucke
 alternating large-star and small-star steps over stored edge tables.
 
 Defined results: null or blank text has no shingles and is linked with nothing; with fewer words than a shingle, all of them
-are one; rows that share a key are one document; a row with a null key is its own component of key null, and kept. Other columns are kept by `annotate`,
-which raises ValueError if they have a new name. An empty table gives an empty result.
+are one; rows that share a key are one document; a row with a null key is its own component of key null, and kept. Other columns do not matter: `label` does not read them, and `unique`
+keeps them. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajecta.llm import text as tx
-from trajecta.llm.tables import partitions, stored
+from trajecta.llm.tables import numbered, partitions, stored
 
 BLOCK = 256
 
@@ -269,5 +269,7 @@ def label(docs: DataFrame, s: Settings = Settings(), *, key: str = "doc_id", col
 
 def unique(docs: DataFrame, s: Settings = Settings(), *, key: str = "doc_id", column: str = "text") -> DataFrame:
     """The documents that are the least of their component, with all their columns."""
-    dropped = label(docs, s, key=key, column=column).where(~F.col("kept")).select(F.col(key).alias("_dropped"))
-    return docs.join(dropped, F.col(f"`{key}`") == F.col("_dropped"), "left_anti")
+    plain, names = numbered(docs)
+    dropped = label(docs, s, key=key, column=column).where("NOT kept").select(F.col(key).alias("_dropped"))
+    left = plain.join(dropped, F.col(names[key]) == F.col("_dropped"), "left_anti")
+    return left.toDF(*docs.columns)

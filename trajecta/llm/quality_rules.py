@@ -7,8 +7,8 @@ the whole corpus. A document's score is the mean over its n-grams of log(target
 only bucket counts are, and at most `buckets` rows of them go over the driver.
 
 Defined results: null text counts as empty: no words, and base_failed; a text without units scores 0; without good labels all
-weights are 0, and the counting rules decide alone. A text of any length is taken whole. Each repeated row gets its result again. `annotate` keeps other columns and raises
-ValueError if they have a new name. The target is counted on at most `sample` labelled documents, those with the least hashed ids; the corpus counts are of all documents.
+weights are 0, and the counting rules decide alone. A text of any length is taken whole. Each repeated row gets its result again. `annotate` keeps other columns, but for
+those with a new name, which it replaces; `passing` keeps all. The target is counted on at most `sample` labelled documents, those with the least hashed ids; the corpus counts are of all documents.
 """
 
 from __future__ import annotations
@@ -19,6 +19,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from trajecta.llm.tables import numbered, replaced
+
 SPACES = " \t\n\x0b\f\r"
 UNITS = r"[\p{L}\p{N}]+|[^\p{L}\p{N}\s]+"
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "llr", "base_failed", "kept")
@@ -85,8 +87,7 @@ def ratio_weights(docs: DataFrame, labels: DataFrame, *, buckets: int = 8192, sa
 
 def annotate(docs: DataFrame, weights: list[float], *, column: str = "text", threshold: float = -0.25, least_words: int = 50, most_repeated: int = 50) -> DataFrame:
     """docs with the counts, llr, base_failed and kept."""
-    if taken := set(COLUMNS) & set(docs.columns):
-        raise ValueError(f"columns are taken: {sorted(taken)}")
+    docs = replaced(docs, list(COLUMNS), column)
     text = F.coalesce(F.col(f"`{column}`"), F.lit(""))
     weight = F.split(F.lit(",".join(f"{x:.9g}" for x in weights)), ",").cast("array<double>")
     mean = lambda b: F.when(F.size(b) == 0, 0.0).otherwise(F.aggregate(b, F.lit(0.0), lambda total, x: total + F.get(weight, x)) / F.size(b))
@@ -106,6 +107,14 @@ def annotate(docs: DataFrame, weights: list[float], *, column: str = "text", thr
     return counted.withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & (F.col("llr") >= threshold))
 
 
+def passing(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", column: str = "text", buckets: int = 8192, threshold: float = -0.25) -> DataFrame:
+    """The documents that are kept, with exactly their own columns."""
+    plain, names = numbered(docs)
+    weights = ratio_weights(docs.select(F.col(f"`{key}`"), F.col(f"`{column}`").alias("text")), labels, buckets=buckets, key=key)
+    found = annotate(plain, weights, column=names[column], threshold=threshold).where("kept")
+    return found.select(*(F.col(new).alias(old) for old, new in names.items()))
+
+
 def score(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", column: str = "text", buckets: int = 8192, threshold: float = -0.25) -> DataFrame:
     """key and all counts and verdicts of every document."""
     only = docs.select(F.col(key), F.col(column).alias("text"))

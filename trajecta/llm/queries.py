@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import best_fit_pack, bpe, jpeg_media, minhash_dedup, quality_rules, substring_dedup, suffix_dedup, token_store, toxicity
+from trajecta.llm import best_fit_pack, bpe, html_extract, jpeg_media, minhash_dedup, quality_rules, substring_dedup, suffix_dedup, token_store, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -21,6 +21,11 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.label(table(spark, sf_dir, "documents"), minhash_dedup.Settings(percent=85))
 
 
+def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return html_extract.annotate(pages, html_extract.default_model())
+
+
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"), size=100)
 
@@ -57,6 +62,7 @@ def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
+        "op2_html_extract": op2_html_extract,
         "op3_suffix_dedup": op3_suffix_dedup,
         "op4_toxicity": op4_toxicity,
         "op5_quality_rules": op5_quality_rules,

@@ -6,7 +6,7 @@ split by prefixes of variable length, lengthened until a prefix's suffixes fit i
 is built by reading a range of words of all its open leaves at once, a range that grows as leaves close; its internal nodes of depth `size` and more are the repeats.
 
 Defined results: null text has no words; texts with fewer than `size` words lose nothing; see `repeats` for repeated and null keys. Windows are judged
-on the input. `remove` keeps other columns and raises ValueError if they have a new name.
+on the input. `remove` keeps other columns but for those with a new name, which it replaces.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from trajecta.llm import repeats
 from trajecta.llm import text as tx
+from trajecta.llm.tables import numbered, replaced
 
 
 def prefix_groups(codes: np.ndarray, suffixes: np.ndarray, size: int, memory: int) -> Iterator[tuple[np.ndarray, np.ndarray, int]]:
@@ -92,8 +93,7 @@ def unit(size: int) -> repeats.Unit:
 def remove(docs: DataFrame, *, size: int = 20, key: str = "doc_id", column: str = "text") -> DataFrame:
     """docs with kept (the words that stay, joined by one space), n_words and n_removed."""
     new = ["kept", "n_words", "n_removed"]
-    if taken := set(new) & set(docs.columns):
-        raise ValueError(f"columns are taken: {sorted(taken)}")
+    docs = replaced(docs, new, key, column)
     names = docs.columns
     known = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{column}`").alias("text"))
     spans = repeats.removed_spans(known, unit(size), lambda symbols, at: later_windows(symbols, at, size))
@@ -114,6 +114,16 @@ def remove(docs: DataFrame, *, size: int = 20, key: str = "doc_id", column: str
     return repeats.applied(docs, spans, key, column, run, f"{fields}, kept string, n_words long, n_removed long")
 
 
+def cleaned(docs: DataFrame, *, size: int = 20, key: str = "doc_id", column: str = "text", length: str = "n_chars") -> DataFrame:
+    """docs with the words that stay as their text, and their number of code points in the column `length` if there is one."""
+    plain, names = numbered(docs)
+    found = remove(plain, size=size, key=names[key], column=names[column])
+    new = {column: F.col("kept")}
+    if length in names:
+        new[length] = F.char_length("kept").cast(docs.schema[length].dataType)
+    return found.select(*(new.get(old, F.col(at)).alias(old) for old, at in names.items()))
+
+
 def digests(docs: DataFrame, *, size: int = 20, key: str = "doc_id", column: str = "text") -> DataFrame:
     """key, n_words, n_removed, kept_sha256."""
     only = docs.select(F.col(key), F.col(column).alias("text"))

@@ -5,7 +5,7 @@ A byte goes if a string of `size` bytes that covers it also starts earlier: in a
 common-prefix values come from `trajecta.llm.induced_sort`, and runs with common prefixes of `size` and more are the equal strings.
 
 Defined results: null text is empty; texts shorter than `size` lose nothing; see `repeats` for repeated and null keys. Strings are judged on the input.
-`remove` keeps other columns and raises ValueError if they have a new name.
+`remove` keeps other columns but for those with a new name, which it replaces.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from trajecta.llm import induced_sort, repeats
 from trajecta.llm import text as tx
+from trajecta.llm.tables import replaced
 
 
 def later_windows(symbols: np.ndarray, at: np.ndarray, size: int, memory: int = 1 << 22) -> np.ndarray:
@@ -60,8 +61,7 @@ def _spans(docs: DataFrame, size: int, key: str, column: str) -> DataFrame:
 def remove(docs: DataFrame, *, size: int = 100, key: str = "doc_id", column: str = "text") -> DataFrame:
     """docs with kept (binary: the bytes that stay), n_removed and n_spans."""
     new = ["kept", "n_removed", "n_spans"]
-    if taken := set(new) & set(docs.columns):
-        raise ValueError(f"columns are taken: {sorted(taken)}")
+    docs = replaced(docs, new, key, column)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -25,6 +25,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def replaced(docs: DataFrame, new: list[str], *used: str) -> DataFrame:
+    """docs without columns that have one of the new names (whatever their case), which the operator's own replace; the columns it uses must not be among them."""
+    names = {n.lower() for n in new}
+    if clash := names & {u.lower() for u in used}:
+        raise ValueError(f"an input column has an output's name: {sorted(clash)}")
+    return docs.drop(*(c for c in docs.columns if c.lower() in names))
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """docs with columns _c0, _c1, ..., so that no name can clash, and the new name of each old one."""
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), names
+
+
 def drop(*tables: DataFrame) -> None:
     """Delete stored tables that no later step reads."""
     for df in tables:

@@ -10,7 +10,7 @@ that mark toxic documents best (by likelihood ratio) enter it. Scoring reads eve
 
 Defined results: null or empty text has no features and gets the base severity; labels that are null, or rows of labels without a document, are
 ignored, and of repeated labels the largest counts; without both kinds of labels nothing is toxic and the severity is 0. A repeated row gets its score again.
-Other columns are kept by `annotate` and must not have the new names; `score` does not read them.
+Other columns are kept by `annotate`, but for those with a new name, and all by `passing`; `score` does not read them.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trajecta.llm import text as tx
+from trajecta.llm.tables import numbered, replaced
 
 LEVELS = (1, 2, 4)
 BEGINNINGS = range(4, 10)
@@ -200,10 +201,9 @@ def _scores(model: Model, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray,
 
 def annotate(docs: DataFrame, model: Model, *, column: str = "text", threshold: float = 0.3) -> DataFrame:
     """docs with expected_severity, severity (the grade 0, 1 or 2 that is most likely at least reached) and toxic, which is
-    P(grade >= 1) >= threshold. Raises ValueError if one of these names is taken."""
+    P(grade >= 1) >= threshold. Columns that have these names are replaced."""
     new = ["expected_severity", "severity", "toxic"]
-    if taken := set(new) & set(docs.columns):
-        raise ValueError(f"columns are taken: {sorted(taken)}")
+    docs = replaced(docs, new, column)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -215,6 +215,14 @@ def annotate(docs: DataFrame, model: Model, *, column: str = "text", threshold:
     return docs.mapInArrow(run, f"{fields}, expected_severity double, severity int, toxic boolean")
 
 
+def passing(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", column: str = "text", threshold: float = 0.3) -> DataFrame:
+    """The documents that are not toxic, with exactly their own columns."""
+    model = fit(docs, labels, key=key, column=column)
+    plain, names = numbered(docs)
+    found = annotate(plain, model, column=names[column], threshold=threshold).where("NOT toxic")
+    return found.select(*(F.col(new).alias(old) for old, new in names.items()))
+
+
 def score(docs: DataFrame, model: Model, *, key: str = "doc_id", column: str = "text", threshold: float = 0.3) -> DataFrame:
     """key, expected_severity, severity, toxic, kept of every document."""
     found = annotate(docs.select(F.col(key), F.col(column).alias("text")), model, threshold=threshold)
