@@ -92,7 +92,7 @@ def robot_inputs(robot: Robot, model: Model) -> Transform:
         out = {"state": vector.decode_state(state) if robot.joint_convention else state, "image": F.create_map(*images), "image_mask": F.create_map(*masks)}
         if "actions" in df.columns:
             steps = F.col("actions")
-            out["actions"] = F.transform(steps, vector.encode_actions_inverse) if robot.joint_convention else steps
+            out["actions"] = F.transform(steps, lambda a: vector.encode_actions_inverse(a)) if robot.joint_convention else steps
         if "prompt" in df.columns:
             binary = df.schema["prompt"].dataType.simpleString() == "binary"
             out["prompt"] = F.decode("prompt", F.lit("UTF-8")) if binary else F.col("prompt")
@@ -129,12 +129,16 @@ def scaled(stats: dict[str, NormStats], quantile: bool, inverse: bool = False) -
                 a, b = (vector.literal(v) for v in ((s.q01, s.q99) if quantile else (s.mean, s.std)))
                 body = {(False, False): vector.normalize_z, (True, False): vector.normalize_quantile, (False, True): vector.unnormalize_z, (True, True): vector.unnormalize_quantile}[quantile, inverse]
                 deep = df.schema[name].dataType.simpleString().startswith("array<array")
-                new[name] = F.transform(name, lambda x, a=a, b=b, body=body: body(x, a, b)) if deep else body(F.col(name), a, b)
+                new[name] = _each(name, body, a, b) if deep else body(F.col(name), a, b)
         return df.withColumns(new) if new else df
 
     return run
 
 
+def _each(name: str, body, a: Column, b: Column) -> Column:
+    return F.transform(name, lambda x: body(x, a, b))
+
+
 def deltas(mask: Sequence[bool] | None, absolute: bool = False) -> Transform:
     """Actions relative to the state (or back); a table without actions is unchanged."""
     body = vector.absolute_actions if absolute else vector.delta_actions
@@ -150,7 +154,7 @@ def tokenized(model: Model, encode=text.characters) -> Transform:
         if model.family is Family.FAST:
             actions = None
             if "actions" in df.columns:
-                actions = F.transform(F.flatten(F.transform("actions", vector.discretize)), lambda t: text.remap(t, VOCABULARY))
+                actions = F.transform(F.flatten(F.transform("actions", lambda a: vector.discretize(a))), lambda t: text.remap(t, VOCABULARY))
             packed = text.pack_fast(text.fast_prefix(F.col("prompt"), vector.discretize(F.col("state"))), actions, model.tokens, encode)
             new = {"tokenized_prompt": packed["tokens"], "tokenized_prompt_mask": packed["mask"], "token_ar_mask": packed["ar_mask"], "token_loss_mask": packed["loss_mask"]}
         else:
