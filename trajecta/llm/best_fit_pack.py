@@ -117,10 +117,10 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, key: str = "d
         encoder = tokens.loaded(path)
         part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end = np.array([end_id], "<u4").tobytes()
-        for rows, raw, at in tx.slices(batches, column):
-            data = raw.tobytes()
-            ids = [x + end for x in encoder.encode([data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist())])]
-            size = np.array([len(x) // 4 for x in ids], np.int64)
+        for rows, raw, at in tx.slices(batches, column, tokens.SLICE_BYTES):
+            flat, edge = encoder.encode(raw, at)
+            ids = [flat[a:b].tobytes() + end for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
+            size = np.diff(edge) + 1
             number = -(-size // capacity)
             row = np.repeat(np.arange(len(ids)), number)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(number) - number, number)

@@ -52,7 +52,8 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, key: str, column:
     rows = docs.where(F.col(key).isin(ids)).select(F.substring(F.col(column), 1, head).alias("text")).limit(sample).collect()
     encoder = tokens.loaded(path)
     kind = f"<u{_width(encoder.library.get_vocab_size())}"
-    samples = sorted((np.append(np.frombuffer(x, "<u4"), end_id).astype(kind).tobytes()[:head] for x in encoder.encode([(r[0] or "").encode() for r in rows])), key=lambda b: (hashlib.sha256(b).digest()))
+    flat, edge = encoder.encode(*tx.buffers(pa.array([r[0] or "" for r in rows], pa.string())))
+    samples = sorted((np.append(flat[a:b], end_id).astype(kind).tobytes()[:head] for a, b in zip(edge[:-1], edge[1:])), key=lambda x: hashlib.sha256(x).digest())
     try:
         return zstandard.train_dictionary(size, samples).as_bytes()
     except zstandard.ZstdError:
@@ -96,9 +97,9 @@ def write(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", column:
         encoder = tokens.loaded(path)
         width = _width(encoder.library.get_vocab_size())
         part, start = TaskContext.get().partitionId(), 0
-        for n, (rows, raw, at) in enumerate(tx.slices(batches, column)):
-            data = raw.tobytes()
-            ids = [np.append(np.frombuffer(x, "<u4"), end_id) for x in encoder.encode([data[a:b] for a, b in zip(at[:-1], at[1:])])]
+        for n, (rows, raw, at) in enumerate(tx.slices(batches, column, tokens.SLICE_BYTES)):
+            flat, edge = encoder.encode(raw, at)
+            ids = [np.append(flat[a:b], end_id) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
             total = sum(map(len, ids))
             block = pack_block([-1 if k is None else k for k in rows.column(0).to_pylist()], ids, dictionary, width, level)
             yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([start]), pa.array([len(ids)], pa.int32()), pa.array([total]), pa.array([block], pa.binary())], ["part", "block", "part_start", "n_docs", "n_tokens", "data"])

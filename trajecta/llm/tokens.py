@@ -11,11 +11,24 @@ from __future__ import annotations
 import functools
 import json
 import os
+import re
+from array import array
 
 import numpy as np
 from tokenizers import Tokenizer
 
-CACHE_RUNS = 150_000
+from trajecta.llm import text as tx
+
+SLICE_BYTES = 4 << 20
+
+CACHE_RUNS = 350_000
+# ASCII marks but for the apostrophe, which begins contractions, and those of special tokens.
+MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
+
+VISIBLE = np.zeros(256, bool)
+VISIBLE[[*range(0x21, 0x7F), *range(0x80, 0x100)]] = True
+# White space and separators outside ASCII.
+WIDE_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
 
 
 class Encoder:
@@ -35,61 +48,114 @@ class Encoder:
         steps = (spec["normalizer"] or {}).get("normalizers", [])
         split = (before.get("pretokenizers") or [{}])[0]
         dropped = [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and steps[1]["pattern"] == {"Regex": "\\s+"} and split.get("behavior") == "Removed" and split.get("invert")
-        self.runs = self._spaced if plain and spaced else self._words if plain and dropped else lambda text: [text]
+        self.runs = self._spaced if plain and spaced else self._words if plain and dropped else self._texts
+        self.cuts = plain and bool(spaced or dropped)
+        self.folds = plain and bool(dropped)
         self.cache: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
-        self.edges: dict[bytes, bool] = {}
+        # One-word runs are joined by a mark of one known token: a line feed, or a bar where white space is dropped.
+        self.mark, self.leads = ("\n", True) if plain and spaced else (" | ", False) if plain and dropped else ("", False)
+        mark_ids = self.library.encode(self.mark, add_special_tokens=False).ids
+        self.mark_id = mark_ids[0] if len(mark_ids) == 1 else -1
+        self.mark = self.mark if len(mark_ids) == 1 else ""
+
+    @staticmethod
+    def _words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return tx.word_bounds(raw, at)
 
     @staticmethod
-    def _words(text: bytes) -> list[bytes]:
-        return text.split()
-
-    def _visible(self, part: bytes) -> bool:
-        """Whether a part between two spaces begins and ends with a character that is certainly no white space."""
-        known = self.edges.get(part)
-        if known is None:
-            c = part.decode("utf-8", "replace")
-            known = bool(c) and all("!" <= x <= "~" or x.isalnum() for x in (c[0], c[-1]))
-            if len(self.edges) >= CACHE_RUNS:
-                self.edges.clear()
-            self.edges[part] = known
-        return known
-
-    def _spaced(self, text: bytes) -> list[bytes]:
-        parts = text.split(b" ")
-        visible = self._visible
-        out = parts[:1]
-        if all(map(visible, parts)):
-            return out + [b" " + p for p in parts[1:]]
-        safe = visible(parts[0])
-        for part in parts[1:]:
-            sure = visible(part)
-            if safe and sure:
-                out.append(b" " + part)
-            else:
-                out[-1] += b" " + part
-            safe = sure
-        return out
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """Each text's ids, as bytes."""
-        cut = [self.runs(t) for t in texts]
+    def _spaced(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Cut before each space that stands between two bytes of visible characters."""
+        seen = VISIBLE[raw]
+        if (raw >= 0x80).any():
+            data = raw.tobytes()
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+                if WIDE_SPACE.search(data, a, b):
+                    seen[a:b] &= raw[a:b] < 0x80
+        cut = np.zeros(len(raw) + 1, bool)
+        if len(raw) > 2:
+            cut[1:-2] = (raw[1:-1] == 32) & seen[:-2] & seen[2:]
+        cut[at[:-1][np.diff(at) > 0]] = True
+        # A space that begins or ends a document has a neighbour of another one; the first is a start anyway.
+        ends = at[1:][np.diff(at) > 0] - 1
+        cut[ends] &= np.isin(ends, at[:-1])
+        start = np.flatnonzero(cut[:-1]) if len(raw) else np.zeros(0, np.int64)
+        return start, np.append(start[1:], len(raw)) if len(start) else start, np.searchsorted(start, at, "left")
+
+    @staticmethod
+    def _texts(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return at[:-1], at[1:], np.arange(len(at))
+
+    def _library(self, runs: list[bytes]) -> None:
+        """Encode runs into the cache. Those of one word are given to the library as one text, between marks that none of them has."""
+        cache, words, rest = self.cache, [], []
+        for run in runs:
+            word = run.decode("utf-8", "replace")
+            body = word[1:] if word[:1] == " " else word
+            (words if self.mark and self.mark.strip() not in word and body.split() == [body] and "<|" not in word and (word is body or self.leads) else rest).append((run, word))
+        if words:
+            ids = array("I", self.library.encode_batch_fast([self.mark.join([w for _, w in words])], add_special_tokens=False)[0].ids)
+            data, at = ids.tobytes(), 0
+            ends = [i for i, x in enumerate(ids) if x == self.mark_id] + [len(ids)]
+            for (run, _), end in zip(words, ends, strict=True):
+                cache[run] = data[4 * at : 4 * end]
+                at = end + 1
+        if rest:
+            for (run, _), e in zip(rest, self.library.encode_batch_fast([w for _, w in rest], add_special_tokens=False)):
+                cache[run] = array("I", e.ids).tobytes()
+
+    def _resolve(self, missing: list[bytes]) -> None:
+        """Enter runs into the cache. A run that ends in ASCII marks after a letter is its two parts, as every known pre-tokeniser
+        cuts there; the parts are looked up, and only what is new then goes to the library."""
         cache, older = self.cache, self.older
-        missing = [r for r in {r for runs in cut for r in runs} if r not in cache]
-        if missing:
-            if len(cache) + len(missing) > CACHE_RUNS:
-                # One generation is kept; of it, what these texts need.
-                older, self.cache = cache, {r: cache[r] for runs in cut for r in runs if r in cache}
-                self.older, cache = older, self.cache
-            new = []
-            for r in missing:
-                if r in older:
-                    cache[r] = older[r]
-                else:
-                    new.append(r)
-            for r, e in zip(new, self.library.encode_batch_fast([r.decode("utf-8", "replace") for r in new], add_special_tokens=False)):
-                cache[r] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([cache[r] for r in runs]) for runs in cut]
+        whole: dict[bytes, None] = {}
+        parted = []
+        for run in missing:
+            if (ids := older.get(run)) is not None:
+                cache[run] = ids
+                continue
+            head = run.rstrip(MARKS) if self.cuts else run
+            if len(head) == len(run) or not head[-1:].isalpha():
+                whole[run] = None
+                continue
+            if self.folds and b"<|" not in head:
+                head = head.lower()
+            tail = run[len(head) :]
+            parted.append((run, head, tail))
+            for part in (head, tail):
+                if part not in cache:
+                    if (ids := older.get(part)) is not None:
+                        cache[part] = ids
+                    else:
+                        whole[part] = None
+        if whole:
+            self._library([*whole])
+        for run, head, tail in parted:
+            cache[run] = cache[head] + cache[tail]
+
+    def encode(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts raw[at[i]:at[i+1]] one after another, and the n + 1 places where each text's begin."""
+        if len(self.cache) > CACHE_RUNS:
+            self.older, self.cache = self.cache, {}
+        if self.folds and b"<|" not in raw.tobytes():
+            raw = tx.LOWER[raw]  # the file folds case anyway, but looks for special tokens before
+        start, end, first_run = self.runs(raw, at)
+        _, example, number = np.unique(tx.Rolling(raw).of(start, end), return_index=True, return_inverse=True)
+        data = raw.tobytes()
+        runs = [data[a:b] for a, b in zip(start[example].tolist(), end[example].tolist())]
+        get = self.cache.get
+        ids = [*map(get, runs)]
+        if missing := [r for r, x in zip(runs, ids) if x is None]:
+            self._resolve(missing)
+            ids = [*map(get, runs)]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) >> 2
+        begin = np.cumsum(size) - size
+        count = size[number]
+        place = np.zeros(len(number) + 1, np.int64)
+        np.cumsum(count, out=place[1:])
+        out = flat[np.repeat(begin[number] - place[:-1], count) + np.arange(place[-1])]
+        return out, place[first_run]
 
 
 @functools.lru_cache(maxsize=2)
