@@ -34,6 +34,8 @@ BLOCKS = frozenset("address article aside blockquote body br caption center dd d
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 PASSED = frozenset("aside audio button canvas datalist dialog fieldset footer form head iframe label menu nav noscript object select svg template textarea title video".split())
 MARKED = frozenset("ad ads advert adverts advertisement adsbygoogle sponsor sponsored promo promotion sidebar widget menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist respond replies disqus cookie cookies consent gdpr notice banner popup modal overlay share sharing social related recommended newsletter subscribe signup login search pagination pager masthead toolbar contentinfo complementary".split())
+INLINE = frozenset("abbr b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 MARK_ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -42,7 +44,7 @@ PART = re.compile(r"[A-Za-z]+")
 
 @dataclass(frozen=True)
 class Token:
-    """kind: word, link (words inside an anchor), pass, or a tag's name; text of words; block: whether it ends a block."""
+    """kind: word, link (words inside an anchor), pass (inner if in an article), inline, heading, or another tag's name; text of words; block: whether it ends a block."""
 
     kind: str
     count: int
@@ -80,13 +82,14 @@ def tokens(page: str) -> list[Token]:
                 inside += -1 if m[2] else 1
             passed = not m[2] and i in closes and (name in PASSED or name == "header" and inside <= 0 or name not in ("html", "body", "article", "main") and _marked(m[4]))
             if passed:
-                out.append(Token("pass", 1, block=True))
+                out.append(Token("inner" if inside > 0 else "pass", 1, block=True))
                 i = closes[i]
                 at = found[i].end()
             else:
                 if name == "a":
                     links = 0 if m[2] else 1
-                out.append(Token(name, 1, block=name in BLOCKS))
+                kind = "inline" if name in INLINE else "heading" if name in HEADINGS else name
+                out.append(Token(kind, 1, block=name in BLOCKS))
         i += 1
     if text := page[at:]:
         _words(out, text, links)
@@ -103,7 +106,7 @@ class Model:
     """Weight of each kind of token; tags that were never seen have `other`."""
 
     weights: dict[str, float]
-    other: float = -4.0
+    other: float = -2.0
 
     def region(self, sequence: list[Token]) -> tuple[int, int]:
         """First and last + 1 token of the region with the greatest total, the first of equals; (0, 0) if none is above zero."""
@@ -183,18 +186,23 @@ def labelled_pages(n: int = 240, seed: int = 7) -> list[tuple[list[Token], tuple
             before += rng.choice(['<div class="ad">{}</div>', "<div>{}</div>", '<div id="cookie-notice"><p>{}</p></div>']).format(words(3, 10))
         blocks = []
         for _ in range(rng.randint(1, 12)):
-            text = words(8, 90)
+            text = words(8, 90) if rng.random() < 0.75 else words(2, 8)
+            if rng.random() < 0.2:
+                tag = rng.choice(["em", "strong", "span", "code"])
+                text += f" <{tag}>{words(1, 3)}</{tag}>{rng.choice(['', ' ' + words(1, 4)])}"
             if rng.random() < 0.3:
                 text = f"<b>{text}<br>"
             if rng.random() < 0.25:
                 text += f' <a href="/x">{words(1, 3)}</a> {words(2, 20)}'
             blocks.append(rng.choice(["<p>{}</p>", "<p>{}</p>", "<p>{}", "<h2>{}</h2><p>" + words(15, 60) + "</p>", "<blockquote><p>{}</p></blockquote>", "<ul><li>{}</li><li>" + words(6, 20) + "</li></ul>"]).format(text))
-            if rng.random() < 0.08:
-                blocks.append(f'<div class="advert">{words(3, 8)}</div>')
+            if rng.random() < 0.15:
+                blocks.append(f'<div class="advert">{words(3, 8)}</div><p>{words(2, 30)}</p>')
+            if rng.random() < 0.05:
+                blocks.append(f"<form><label>{words(1, 3)}</label><input></form><p>{words(3, 30)}</p>")
         outer = rng.choice(["article", "article", "main", "div"])
         content = f"<h1>{words(3, 10)}</h1>" + "".join(blocks)
         after = rng.choice(["", f"<div><ul>{links(rng.randint(2, 8))}</ul></div>", f'<section id="comments"><p>{words(5, 30)}</p></section>'])
-        after += rng.choice([f"<footer>&copy; {words(4, 16)}</footer>", f"<div><span>{words(3, 8)}</span></div>"]) + "</body></html>"
+        after += rng.choice([f"<footer>&copy; {words(4, 16)}</footer>", f"<div><p>{words(3, 8)}</p></div>"]) + "</body></html>"
         head, middle = tokens(before + f"<{outer}>"), tokens(before + f"<{outer}>{content}")
         whole = tokens(before + f"<{outer}>{content}</{outer}>" + after)
         if whole[: len(middle)] == middle:

@@ -271,7 +271,8 @@ def _group(files: list[bytes], frames: list[Frame], dc_only: bool) -> list[np.nd
     bad = np.zeros(len(files), bool)
     limit = 8 * (len(clean) - 8)
     while len(live):
-        p = bit[live]
+        past = bit[live] >= limit
+        p = np.minimum(bit[live], limit)
         part = pattern[block[live] % len(pattern)]
         kk = k[live]
         x = (window[p >> 3].astype(np.uint64) << (p & 7).astype(np.uint64)) & np.uint64(0xFFFFFFFF)
@@ -280,7 +281,7 @@ def _group(files: list[bytes], frames: list[Frame], dc_only: bool) -> list[np.nd
         size, run = symbol & 15, symbol >> 4
         extra = ((x << length.astype(np.uint64) & np.uint64(0xFFFFFFFF)) >> (32 - size).astype(np.uint64)).astype(np.int64)
         value = np.where((size > 0) & (extra < (1 << np.maximum(size - 1, 0))), extra - (1 << size) + 1, extra)
-        wrong = (length == 0) | (p >= limit)
+        wrong = (length == 0) | past
         first = kk == 0
         if first.any():
             rows = live[first]
