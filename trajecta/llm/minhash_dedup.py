@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from trajecta.llm import text as tx
 from trajecta.llm.tables import numbered, partitions, stored
 
-BLOCK = 256
+BLOCK = 1024
 
 
 @dataclass(frozen=True)
@@ -110,6 +110,15 @@ def _matrix(column: pa.Array, values: int) -> np.ndarray:
     return tx.buffers(column)[0].view("<u4").reshape(-1, values)
 
 
+def band_hashes(sig: np.ndarray, s: Settings) -> np.ndarray:
+    """One hash for each band of each signature; the band's number is part of it."""
+    sig = sig.astype(np.uint64)
+    h = tx.mix(np.tile(np.arange(s.bands, dtype=np.uint64), (len(sig), 1)))
+    for r in range(s.rows):
+        h = tx.mix(h * tx.U(0x9FB21C651E98DF25) + sig[:, r :: s.rows])
+    return h.view(np.int64)
+
+
 def buckets(representatives: DataFrame, s: Settings) -> DataFrame:
     """bucket, rep, copies: one row for each band of each representative."""
 
@@ -117,13 +126,9 @@ def buckets(representatives: DataFrame, s: Settings) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            sig = _matrix(batch.column(2), s.values).astype(np.uint64)
-            band = np.arange(s.bands, dtype=np.uint64)[None, :]
-            h = tx.mix(np.broadcast_to(band, (len(sig), s.bands)).copy())
-            for r in range(s.rows):
-                h = tx.mix(h * tx.U(0x9FB21C651E98DF25) + sig[:, r :: s.rows])
-            row = pa.array(np.repeat(np.arange(len(sig)), s.bands))
-            yield pa.RecordBatch.from_arrays([pa.array(h.ravel().view(np.int64)), batch.column(0).take(row), batch.column(1).take(row)], ["bucket", "rep", "copies"])
+            h = band_hashes(_matrix(batch.column(2), s.values), s)
+            row = pa.array(np.repeat(np.arange(len(h)), s.bands))
+            yield pa.RecordBatch.from_arrays([pa.array(h.ravel()), batch.column(0).take(row), batch.column(1).take(row)], ["bucket", "rep", "copies"])
 
     return representatives.select("rep", "copies", "sig").mapInArrow(run, "bucket long, rep long, copies long")
 
@@ -203,39 +208,64 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
 
 
-def _blocked(members: DataFrame, representatives: DataFrame, s: Settings) -> DataFrame:
-    """The plausible pairs among members (bucket, rep, component) of one bucket and different components, in blocks of signatures."""
+def _blocked(members: DataFrame, representatives: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """Links (x, y) among members (bucket, rep, component) of one bucket and different components, in blocks of signatures.
+
+    A pair is compared only in the first band that it shares, and only until its components are linked; what passes the signatures is confirmed on the full
+    sets at once. So no pair leaves the block but the links that join components."""
     steps = s.least_matches()
     spread = 8 * partitions(members.sparkSession)
     open_buckets = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     rows = members.join(open_buckets.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "bucket")
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = stored(rows.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")), "open-members")
+    ids = stored(rows.select("rep").distinct(), "open-ids")
+    texts = docs.join(ids, docs.doc == ids.rep, "left_semi").groupBy("doc").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"))
+    data = stored(representatives.select("rep", "sig").join(texts, F.col("rep") == F.col("doc")).select("rep", "sig", "text"), "open-texts")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     rows = rows.withColumn("task", F.when(F.col("blocks") == 1, F.pmod(F.col("bucket"), F.lit(spread))).otherwise(F.xxhash64("bucket", "i", "j")))
-    rows = rows.join(representatives.select("rep", "sig"), "rep").select("task", "bucket", "i", "j", "block", "rep", "component", "sig")
+    rows = rows.join(data, "rep").select("task", "bucket", "i", "j", "block", "rep", "component", "sig", "text")
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
         bucket, i, j, block, rep, component = (table.column(c).to_numpy() for c in ("bucket", "i", "j", "block", "rep", "component"))
-        sig = _matrix(table.column("sig"), s.values)
+        keys, first, own = np.unique(rep, return_index=True, return_inverse=True)
+        chosen = table.take(pa.array(first))
+        sig = _matrix(chosen.column("sig"), s.values)
+        bands = band_hashes(sig, s)
+        doc, h = shingles(*tx.buffers(chosen.column("text")), s.shingle)
+        edge = np.searchsorted(doc, np.arange(len(keys) + 1))
         order = np.lexsort((rep, j, i, bucket))
         new = np.flatnonzero(np.append(True, (np.diff(bucket[order]) != 0) | (np.diff(i[order]) != 0) | (np.diff(j[order]) != 0)))
         found = []
         for group in np.split(order, new[1:]):
-            one = group[block[group] == i[group[0]]]
-            two = group[block[group] == j[group[0]]]
+            band = int(np.argmax(bands[own[group[0]]] == bucket[group[0]]))
+            label = component[group].copy()
+            one = np.flatnonzero(block[group] == i[group[0]])
+            two = np.flatnonzero(block[group] == j[group[0]])
             for r in one:
-                partners = two[component[two] != component[r]]
-                if i[r] == j[r]:
-                    partners = partners[rep[partners] > rep[r]]
-                if len(partners):
-                    live = likely(np.broadcast_to(sig[r], (len(partners), s.values)), sig[partners], steps)
-                    found += [(rep[r], rep[p]) for p in partners[live]]
+                partners = two[label[two] != label[r]]
+                if i[group[0]] == j[group[0]]:
+                    partners = partners[partners > r]
+                if not len(partners):
+                    continue
+                a, b = own[group[r]], own[group[partners]]
+                live = likely(np.broadcast_to(sig[a], (len(b), s.values)), sig[b], steps)
+                if band and len(live):
+                    live = live[~(bands[b[live], :band] == bands[a, :band]).any(axis=1)]
+                p = h[edge[a] : edge[a + 1]]
+                for t in live.tolist():
+                    if label[partners[t]] == label[r]:
+                        continue
+                    q = h[edge[b[t]] : edge[b[t] + 1]]
+                    shared = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+                    if 100 * shared >= s.percent * (len(p) + len(q) - shared):
+                        found.append((keys[a], keys[b[t]]))
+                        label[label == label[partners[t]]] = label[r]
         x, y = zip(*found) if found else ((), ())
         return pa.table([pa.array(np.array(x, np.int64)), pa.array(np.array(y, np.int64))], ["x", "y"])
 
-    return rows.groupBy("task").applyInArrow(run, "x long, y long")
+    return rows.groupBy("task").applyInArrow(run, "x long, y long").distinct()
 
 
 def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
@@ -251,7 +281,7 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     edges = stored(confirmed(plausible(to_leader, representatives, s), docs, s), "links")
     first = components(edges)
     placed = members.join(first, members.rep == first.node, "left").select("bucket", "rep", F.coalesce("root", "rep").alias("component"))
-    more = stored(confirmed(_blocked(placed, representatives, s), docs, s), "links")
+    more = stored(_blocked(placed, representatives, docs, s), "links")
     # Rows that share a key are one document whatever their sets.
     shared = representatives.join(keyed.select("doc", "s1", "s2", "n"), ["s1", "s2", "n"]).where("doc <> rep")
     repeated = keyed.groupBy("doc").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1").select("doc")
