@@ -288,7 +288,7 @@ def classes(docs: DataFrame, s: Settings = Settings()) -> DataFrame:
     tied = shared.join(repeated, "doc", "left_semi").select(F.col("rep").alias("x"), F.col("doc").alias("y"))
     final = components(edges.unionByName(more).unionByName(tied))
     reps = representatives.select("s1", "s2", "n", "rep").join(final, F.col("rep") == F.col("node"), "left").select("s1", "s2", "n", F.coalesce("root", "rep").alias("component_id"))
-    return sets.join(reps, ["s1", "s2", "n"], "left").select("doc", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc").alias("component_id"))
+    return sets.join(reps, ["s1", "s2", "n"], "left").select("doc", F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component_id", "doc")).alias("component_id"))
 
 
 def label(docs: DataFrame, s: Settings = Settings(), *, key: str = "doc_id", column: str = "text") -> DataFrame:
