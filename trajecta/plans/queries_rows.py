@@ -205,11 +205,11 @@ def dates(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", F.unix_timestamp(F.date_trunc("day", "o_orderdate")).alias("midnight"), F.date_format("o_orderdate", "yyyy_MM_dd_HH:mm:ss").alias("stamp"))
 
 
-@query("json_stats_round_trip", f"WITH {LONG} SELECT CAST(dim AS INT) AS dim, round(avg(v), 4) AS mean FROM lo GROUP BY dim")
+@query("json_stats_round_trip", f"WITH {LONG} SELECT CAST(dim AS INT) AS dim, round(avg(v), 2) AS mean FROM lo GROUP BY dim")
 def json_stats_round_trip(spark, sf_dir):
     found = stats.collected(stats.norm_stats(stats.elements(li_frames(spark, sf_dir), F.col("state"), "state"), 500))
     back = stats.from_json(stats.to_json(found))["state"]
-    return spark.createDataFrame([(i, round(v, 4)) for i, v in enumerate(back.mean)], "dim int, mean double")
+    return spark.createDataFrame([(i, round(v, 2)) for i, v in enumerate(back.mean)], "dim int, mean double")
 
 
 @query("dataset_length", "SELECT count(*) AS frames, count(DISTINCT l_orderkey) AS episodes FROM lineitem")
