@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from trajecta.llm import text as tx
 from trajecta.llm.tables import numbered, partitions, stored
 
-BLOCK = 1024
+BLOCK = 384
 
 
 @dataclass(frozen=True)
