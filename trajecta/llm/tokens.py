@@ -19,9 +19,9 @@ from tokenizers import Tokenizer
 
 from trajecta.llm import text as tx
 
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
-CACHE_RUNS = 350_000
+CACHE_RUNS = 120_000
 # ASCII marks but for the apostrophe, which begins contractions, and those of special tokens.
 MARKS = b"!\"#$%&()*+,-./:;=?@[\\]^_`{}~"
 
