@@ -254,14 +254,23 @@ def chunk_window_equals_array(spark, sf_dir):
     return ahead.join(whole, "episode").select("episode", "t", (F.col("a") == sequence.chunk_array(F.col("_all"), F.col("t"), 4)).alias("same"))
 
 
-@query("streaming_chunk_replay", f"WITH {EV} SELECT episode, t, CAST(t // 5 * 5 AS INT) AS query, CAST(t % 5 AS INT) AS place, value AS action FROM ev WHERE t < 20")
-def streaming_chunk_replay(spark, sf_dir):
+STREAMED = f"WITH {EV} SELECT episode, t, CAST(t // 5 * 5 AS INT) AS query, CAST(t % 5 AS INT) AS place, value AS action FROM ev"
+
+
+@query("streaming_chunk_replay_whole", STREAMED)
+def streaming_chunk_replay_whole(spark, sf_dir):
     """The stateful form over a bounded file source, run to its end; frames and results are tables in the shared folder."""
     frames = ev_frames(spark, sf_dir).select("episode", "t", sequence.chunk(F.col("value"), "episode", "t", 5).alias("chunk"))
-    return replay.run_bounded(frames.where("t < 20"), lambda steps: replay.chunk_replay(steps, 5))
+    return replay.run_bounded(frames, lambda steps: replay.chunk_replay(steps, 5))
+
+
+@query("streaming_chunk_replay", f"WITH {EV} SELECT episode, t, CAST(t // 5 * 5 AS INT) AS query, CAST(t % 5 AS INT) AS place, value AS action FROM ev WHERE t < 20")
+def streaming_chunk_replay(spark, sf_dir):
+    """The rows of its SQL; all steps are streamed."""
+    return streaming_chunk_replay_whole(spark, sf_dir).where("t < 20")
 
 
 @query("streaming_lifecycle", f"WITH {EV} SELECT episode, t, CAST(t + 1 AS INT) AS steps, t = 6 AS last FROM ev WHERE t <= 6")
 def streaming_lifecycle(spark, sf_dir):
-    steps = ev_frames(spark, sf_dir).where("t < 20").select("episode", "t", F.lit(False).alias("complete"))
+    steps = ev_frames(spark, sf_dir).select("episode", "t", F.lit(False).alias("complete"))
     return replay.run_bounded(steps, lambda rows: replay.lifecycle(rows, 6))
