@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from trajecta.operators import sequence
 from trajecta.plans import catalog
 from trajecta.streaming import replay
 
@@ -32,3 +33,20 @@ def test_all_steps_are_streamed(spark, events, monkeypatch, name):
 def test_replay_of_long_episodes(spark, events):
     got = sorted((r.episode, r.t, r["query"], r.place, r.action) for r in catalog.queries()["streaming_chunk_replay_whole"](spark, events[0]).collect())
     assert got == sorted((u, t, t // 5 * 5, t % 5, v) for _, u, t, v in events[1])
+
+
+@pytest.mark.parametrize("block", [1, 7, 1024])
+def test_attention_of_whole_sequences(spark, block):
+    rows = [(e, t, (t * e) % 3 == 1, (t + e) % 5 > 0) for e, n in ((1, 40), (2, 1), (3, 21)) for t in range(n)]
+    want = []
+    for e in (1, 2, 3):
+        mine = [r for r in rows if r[0] == e]
+        sums = [sum(r[2] for r in mine[: i + 1]) for i in range(len(mine))]
+        want += [(e, i, j, sums[j] <= sums[i] and a[3] and b[3]) for i, a in enumerate(mine) for j, b in enumerate(mine)]
+    df = spark.createDataFrame(rows, "episode long, t int, ar boolean, ok boolean")
+    assert sorted(tuple(r) for r in sequence.attention(df, "episode", "t", "ar", "ok", block).collect()) == sorted(want)
+
+
+def test_mask_query_has_all_pairs(spark, events):
+    got = catalog.queries()["attn_mask_whole"](spark, events[0])
+    assert {r.episode: (r["count"], r.i) for r in got.groupBy("episode").agg(F.count("*").alias("count"), F.max("i").alias("i")).collect()} == {1: (430 * 430, 429), 2: (49, 6), 3: (45 * 45, 44)}

@@ -88,3 +88,14 @@ def prefix_complete(df: DataFrame, ok: str, episode: str, order: str) -> DataFra
     """The steps before the first one that is not ok."""
     failed = F.sum((~F.col(ok)).cast("int")).over(by(episode, order).rowsBetween(Window.unboundedPreceding, 0))
     return df.withColumn("_failed", failed).where("_failed = 0").drop("_failed")
+
+
+def attention(df: DataFrame, episode: str, t: str, ar: str, ok: str, block: int = 1024) -> DataFrame:
+    """episode, i, j, visible for all pairs of an episode's steps: both are ok and the running sum of ar at j is at most that at i.
+
+    Pairs meet in squares of `block` steps, so that no task holds a long episode's whole mask."""
+    sums = df.select(F.col(episode).alias("episode"), F.col(t).alias("t"), F.col(ok).alias("ok"), F.sum(F.col(ar).cast("int")).over(by(episode, t)).alias("s"), F.floor(F.max(t).over(Window.partitionBy(episode)) / block).alias("top"))
+    own, others = F.floor(F.col("t") / block), F.explode(F.sequence(F.lit(0).cast("long"), F.col("top")))
+    left = sums.select("episode", own.alias("_i"), others.alias("_j"), F.col("t").alias("i"), F.col("s").alias("_si"), F.col("ok").alias("_oi"))
+    right = sums.select("episode", others.alias("_i"), own.alias("_j"), F.col("t").alias("j"), F.col("s").alias("_sj"), F.col("ok").alias("_oj"))
+    return left.join(right, ["episode", "_i", "_j"]).select("episode", "i", "j", ((F.col("_sj") <= F.col("_si")) & F.col("_oi") & F.col("_oj")).alias("visible"))

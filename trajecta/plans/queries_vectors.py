@@ -266,6 +266,13 @@ def attn_mask_block(spark, sf_dir):
     return out.select("episode", "i", F.posexplode("_m").alias("j", "visible"))
 
 
+@query("attn_mask_whole", f"""WITH {EV}, m AS (SELECT episode, t, CASE WHEN t >= 3 THEN 1 ELSE 0 END AS ar, value >= 0 OR t < 6 AS ok FROM ev), c AS (SELECT *, sum(ar) OVER (PARTITION BY episode ORDER BY t) AS s FROM m)
+ SELECT a.episode, CAST(a.t AS INT) AS i, CAST(b.t AS INT) AS j, b.s <= a.s AND a.ok AND b.ok AS visible FROM c a JOIN c b ON a.episode = b.episode""")
+def attn_mask_whole(spark, sf_dir):
+    rows = ev_frames(spark, sf_dir).select("episode", "t", (F.col("t") >= 3).alias("ar"), ((F.col("value") >= 0) | (F.col("t") < 6)).alias("ok"))
+    return sequence.attention(rows, "episode", "t", "ar", "ok")
+
+
 @query("positions", f"WITH {EV} SELECT episode, t, CAST(sum(CASE WHEN value >= 50 THEN 1 ELSE 0 END) OVER (PARTITION BY episode ORDER BY t) - 1 AS INT) AS position FROM ev")
 def positions(spark, sf_dir):
     rows = ev_frames(spark, sf_dir).groupBy("episode").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "value"))), lambda x: x["value"] >= 50).alias("ok"))
