@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from trajecta.operators import sequence
+from trajecta.operators import sampling, sequence
 from trajecta.plans import catalog
 from trajecta.streaming import replay
 
@@ -50,3 +50,15 @@ def test_attention_of_whole_sequences(spark, block):
 def test_mask_query_has_all_pairs(spark, events):
     got = catalog.queries()["attn_mask_whole"](spark, events[0])
     assert {r.episode: (r["count"], r.i) for r in got.groupBy("episode").agg(F.count("*").alias("count"), F.max("i").alias("i")).collect()} == {1: (430 * 430, 429), 2: (49, 6), 3: (45 * 45, 44)}
+
+
+def test_an_epoch_is_all_batches(spark):
+    rows = spark.createDataFrame([(b, 10 * b + i) for b in range(7) for i in range(3)], "batch long, id long")
+    got = sorted(tuple(r) for r in sampling.epochs(rows, "batch", None, 17).select("step", "id").collect())
+    assert got == sorted((step, 10 * (step % 7) + i) for step in range(17) for i in range(3))
+
+
+def test_epoch_query_goes_round_after_the_whole_table(spark, tmp_path):
+    spark.range(7 * 200 + 50).select(F.col("id").alias("event_id")).write.parquet(f"{tmp_path}/events.parquet")
+    got = sorted(tuple(r) for r in catalog.queries()["epoch_cycle_whole"](spark, str(tmp_path)).collect())
+    assert got == [(step, step % 7 * 200 + i) for step in range(10) for i in range(200)]

@@ -55,8 +55,10 @@ def batches(df: DataFrame, position: str, size: int, drop_last: bool = True, nam
     return out.where(F.col(name) < n // size)
 
 
-def epochs(df: DataFrame, batch: str, per_epoch: int, n: int, name: str = "step") -> DataFrame:
-    """n batches, going round again after each epoch."""
+def epochs(df: DataFrame, batch: str, per_epoch: int | None, n: int, name: str = "step") -> DataFrame:
+    """n batches, going round again after each epoch; without per_epoch an epoch is all batches of the table."""
+    if per_epoch is None:
+        per_epoch = (df.agg(F.max(batch)).first()[0] or 0) + 1
     rounds = -(-n // per_epoch)
     out = df.where(F.col(batch) < per_epoch).withColumn("_round", F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))))
     return out.withColumn(name, (F.col("_round") * per_epoch + F.col(batch)).cast("long")).where(F.col(name) < n).drop("_round")

@@ -193,6 +193,12 @@ def epoch_cycle(spark, sf_dir):
     return sampling.epochs(rows, "batch_id", 4, 10).select("step", "event_id")
 
 
+@query("epoch_cycle_whole", f"WITH {PLAIN}, n AS (SELECT count(*) // 200 AS n FROM events), b AS (SELECT event_id, position // 200 AS batch_id, n FROM ps, n WHERE position // 200 < n) SELECT CAST(r * n + batch_id AS BIGINT) AS step, event_id FROM b, (SELECT unnest(range(10)) AS r) WHERE r * n + batch_id < 10")
+def epoch_cycle_whole(spark, sf_dir):
+    rows = sampling.batches(shuffled(spark, sf_dir, None), "position", 200)
+    return sampling.epochs(rows, "batch_id", None, 10).select("step", "event_id")
+
+
 @query("max_frames", f"WITH {POSITION} SELECT event_id FROM ps WHERE position < 500 // 64 * 64")
 def max_frames(spark, sf_dir):
     return sampling.truncated(shuffled(spark, sf_dir), "position", 500, 64).select("event_id")
