@@ -2,8 +2,11 @@
 
 A page is a sequence of words and tags. Words score above zero, tags below, by weights learned from labelled pages; one linear
 scan finds the contiguous region with the greatest total, and its blocks are the text. Elements that hold no article text by their
-name (menus, footers, forms, scripts ...) or by a word of their class, id or role (adverts, comments, notices ...) are passed over:
-their words do not count, and the region may run across them at the price of one learned weight.
+name (menus, footers, forms, scripts ...) or by their class, id or role (adverts, comments, notices ...) are passed over: their words
+do not count, and the region may run across them at the price of one learned weight. A class, id or role counts if all words of one of
+its space-separated names are in the list ("cookie-notice", but not "no-sidebar"); ids of headings do not, as they are made from the text.
+No element but the invisible ones is passed over if article or main begin or end in it; nor is one marked by its class, id or role, or a
+form, if it holds a heading and a paragraph after it, unless it stands outside the article or main of a page that has one.
 
 Weights start as log odds of each token in labelled content against the rest and are then corrected by a structured perceptron
 until it finds the labelled regions. `labelled_pages` makes labelled pages by a rule, for when there are none from people.
@@ -15,6 +18,7 @@ Other columns are kept by `annotate`, but for those with a new name, which it re
 
 from __future__ import annotations
 
+import bisect
 import html
 import math
 import random
@@ -33,12 +37,14 @@ from trajecta.llm.tables import replaced
 BLOCKS = frozenset("address article aside blockquote body br caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead title tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 PASSED = frozenset("aside audio button canvas datalist dialog fieldset footer form head iframe label menu nav noscript object select svg template textarea title video".split())
+UNSEEN = frozenset("audio button canvas datalist head iframe object select svg template textarea title video".split())
+FORMS = frozenset("fieldset form".split())
 MARKED = frozenset("ad ads advert adverts advertisement adsbygoogle sponsor sponsored promo promotion sidebar widget menu nav navbar navigation breadcrumb breadcrumbs footer comment comments commentlist respond replies disqus cookie cookies consent gdpr notice banner popup modal overlay share sharing social related recommended newsletter subscribe signup login search pagination pager masthead toolbar contentinfo complementary".split())
 INLINE = frozenset("abbr b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-MARK_ATTRIBUTE = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PART = re.compile(r"[A-Za-z]+")
 
 
@@ -52,8 +58,16 @@ class Token:
     block: bool = False
 
 
-def _marked(attributes: str) -> bool:
-    return any(MARKED.intersection(x.lower() for x in PART.findall("".join(m))) for m in MARK_ATTRIBUTE.findall(attributes))
+def _marked(name: str, attributes: str) -> bool:
+    kinds = ("class", "role") if name in HEADINGS else ("class", "id", "role")
+    words = (PART.findall(x.lower()) for key, *value in ATTRIBUTE.findall(attributes) if key.lower() in kinds for x in "".join(value).split())
+    return any(w and MARKED.issuperset(w) for w in words)
+
+
+def _within(places: list[int], first: int, last: int) -> int | None:
+    """The first of the ascending places between two others."""
+    k = bisect.bisect_right(places, first)
+    return places[k] if k < len(places) and places[k] < last else None
 
 
 def tokens(page: str) -> list[Token]:
@@ -70,6 +84,21 @@ def tokens(page: str) -> list[Token]:
                 stack.append(i)
             elif stack:
                 closes[stack.pop()] = i
+    articles = [i for i, name in enumerate(names) if name in ("article", "main")]
+    headings = [i for i, name in enumerate(names) if name in HEADINGS and not found[i][2]]
+    paragraphs = [i for i, name in enumerate(names) if name == "p" and not found[i][2]]
+
+    def passes(i: int, name: str, attributes: str) -> bool:
+        if name in UNSEEN:
+            return True
+        listed = name in PASSED or name == "header" and inside <= 0
+        if name in ("html", "body", "article", "main") or not listed and not _marked(name, attributes) or _within(articles, i, closes[i]) is not None:
+            return False
+        if listed and name not in FORMS or articles and inside <= 0:
+            return True
+        heading = _within(headings, i, closes[i])
+        return heading is None or _within(paragraphs, heading, closes[i]) is None
+
     out: list[Token] = []
     at, i, links, inside = 0, 0, 0, 0
     while i < len(found):
@@ -80,8 +109,7 @@ def tokens(page: str) -> list[Token]:
         if name:
             if name in ("article", "main"):
                 inside += -1 if m[2] else 1
-            passed = not m[2] and i in closes and (name in PASSED or name == "header" and inside <= 0 or name not in ("html", "body", "article", "main") and _marked(m[4]))
-            if passed:
+            if not m[2] and i in closes and passes(i, name, m[4]):
                 out.append(Token("inner" if inside > 0 else "pass", 1, block=True))
                 i = closes[i]
                 at = found[i].end()
