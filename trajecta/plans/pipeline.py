@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from trajecta.functions import text, vector
 from trajecta.functions.images import zero_image
-from trajecta.operators import structure
+from trajecta.operators import lookup, sampling, structure
 from trajecta.operators.stats import NormStats
 from trajecta.operators.structure import Transform
 
@@ -37,12 +37,24 @@ class Family(Enum):
 
 @dataclass(frozen=True)
 class Model:
-    """Horizon H, dimension D, tokens L."""
+    """Horizon H, dimension D, tokens L; discrete_state: whether FLOW_DISCRETE writes the state into the prompt; tokenizer: of the actions, where it is not the family's."""
 
     family: Family
     horizon: int
     dim: int
     tokens: int
+    discrete_state: bool = True
+    tokenizer: str | None = None
+
+
+@dataclass(frozen=True)
+class Source:
+    """A recorded dataset of a mix: its weight, and the file of its keep ranges."""
+
+    name: str
+    version: str
+    weight: float
+    ranges: str | None = None
 
 
 @dataclass(frozen=True)
@@ -158,7 +170,7 @@ def tokenized(model: Model, encode=text.characters) -> Transform:
             packed = text.pack_fast(text.fast_prefix(F.col("prompt"), vector.discretize(F.col("state"))), actions, model.tokens, encode)
             new = {"tokenized_prompt": packed["tokens"], "tokenized_prompt_mask": packed["mask"], "token_ar_mask": packed["ar_mask"], "token_loss_mask": packed["loss_mask"]}
         else:
-            bins = vector.discretize(F.col("state")) if model.family is Family.FLOW_DISCRETE else None
+            bins = vector.discretize(F.col("state")) if model.family is Family.FLOW_DISCRETE and model.discrete_state else None
             tokens, mask = text.encode_flow(F.col("prompt"), model.tokens, bins, encode)
             new = {"tokenized_prompt": tokens, "tokenized_prompt_mask": mask}
         return df.withColumns(new).drop("prompt")
@@ -189,6 +201,8 @@ class Config:
     default_prompt: str | None = None
     repack: dict | None = field(default=None, hash=False)
     quantile: bool | None = None
+    stored: dict | None = field(default=None, hash=False)
+    sources: tuple[Source, ...] = ()
 
     @property
     def scales_by_quantile(self) -> bool:
@@ -212,6 +226,18 @@ class Config:
             steps.append(padded(self.model.dim))
         return structure.compose(*steps)
 
+    def training_from_dataset(self, stats: dict[str, NormStats]) -> Transform:
+        """training() of records as the robot's dataset stores them; `stored` says where their fields are, and others go."""
+        if self.stored is None:
+            return self.training(stats)
+        return structure.compose(lambda df: structure.repack(df, self.stored), self.training(stats))
+
+    def mixed(self, frames: dict[str, DataFrame], ranges: dict[str, DataFrame], key: str, episode: str = "episode", t: str = "t", seed: int = 0) -> DataFrame:
+        """The datasets' frames within their own ranges, in proportion to the weights."""
+        if missing := [s.name for s in self.sources if s.name not in frames or s.ranges and s.name not in ranges]:
+            raise ValueError(f"no frames or ranges of {missing}")
+        return sampling.mixed({s.name: (lookup.frame_filter(frames[s.name], ranges[s.name] if s.ranges else None, episode, t), s.weight) for s in self.sources}, key, seed)
+
     def inference_outputs(self, stats: dict[str, NormStats]) -> Transform:
         """unscale, absolute, robot slice: deltas are undone at padded width."""
         return structure.compose(scaled(stats, self.scales_by_quantile, inverse=True), *self.data_group().outputs)
@@ -232,7 +258,7 @@ def _models() -> dict[str, Config]:
         ("discrete_droid", "droid", discrete(15), None),
         *((n, "libero", flow(), one_arm) for n in ("flow_libero", "flow_libero_low_mem_finetune")),
         *((n, "libero", fast(10, 7, 180), one_arm) for n in ("fast_libero", "fast_libero_low_mem_finetune")),
-        ("discrete_libero", "libero", discrete(10), None),
+        ("discrete_libero", "libero", replace(discrete(10), discrete_state=False), None),
         ("fast_full_droid_finetune", "droid", fast(16, 8, 180), seven),
         ("discrete_full_droid_finetune", "droid", discrete(16), seven),
         ("discrete_droid_finetune", "droid", discrete(16), None),
@@ -240,9 +266,47 @@ def _models() -> dict[str, Config]:
         ("debug", None, flow(), None),
         ("debug_restore", None, flow(), None),
         ("debug_discrete", None, discrete(), None),
-        ("fast_binning_droid_jointpos", "droid", fast(15, 8, 600), seven),
+        ("fast_binning_droid_jointpos", "droid", replace(fast(15, 8, 600), tokenizer="binning"), seven),
+        ("discrete_droid_jointpos_polaris", "droid", discrete(15), seven),
+        ("fast_droid_jointpos_polaris", "droid", fast(10, 8, 180), seven),
+        *((n, "droid", flow(10, 32, 100), seven) for n in ("flow_droid_jointpos_polaris", "flow_droid_jointpos_100k_polaris")),
+        ("fast_binning_droid", "droid", replace(fast(15, 8, 400), tokenizer="binning"), None),
+        ("fast_universal_droid", "droid", fast(15, 8), None),
+        ("fast_specialist_droid", "droid", replace(fast(15, 8), tokenizer="fast_droid_specialist"), None),
+        ("fast_vq_droid", "droid", replace(fast(15, 8), tokenizer="fsq"), None),
+        ("flow_diffusion_droid", "droid", flow(10, 8), None),
     ]
-    configs = [Config(name, robot, model, delta) for name, robot, model, delta in rows]
+    prompts = {
+        "flow_aloha_towel": "fold the towel",
+        "flow_aloha_tupperware": "open the tupperware and put the food on the plate",
+        "flow_aloha_pen_uncap": "uncap the pen",
+        "discrete_aloha_pen_uncap": "uncap the pen",
+        "flow_aloha_sim": "Transfer cube",
+    }
+    droid_ranges = "gs://openpi-assets/droid/{}_sample_ranges_v{}.json"
+    droid_set = Source("droid", "1.0.1", 1.0, droid_ranges.format("droid", "1_0_1"))
+    mix = (replace(droid_set, weight=0.9), Source("polaris_droid_cotrain_dataset", "1.0.0", 0.1, droid_ranges.format("polaris_droid_cotrain_dataset", "1_0_0")))
+
+    def stored(name: str, robot: str | None) -> dict | None:
+        """Where a dataset's records have the fields; the configurations for inference alone have none, but for the two-arm robot's."""
+        if robot == "aloha":
+            cameras = ("cam_high", "cam_left_wrist", "cam_right_wrist") if name.endswith("pen_uncap") else ()
+            images = {c: f"observation.images.{c}" for c in cameras} or {"cam_high": "observation.images.top"}
+            return {**images, "state": "observation.state", "actions": "action"}
+        if robot == "yam":
+            return {**{f"{c}_image": f"observation.images.{c}" for c in ("top", "left_wrist", "right_wrist")}, "state": "observation.state", "actions": "action", "prompt": "prompt"}
+        if robot == "libero":
+            return {c: c for c in ("image", "wrist_image", "state", "actions", "prompt")}
+        if name == "discrete_droid_finetune":
+            return {c: c for c in ("exterior_image_1_left", "exterior_image_2_left", "wrist_image_left", "joint_position", "gripper_position", "actions", "prompt")}
+        if sources(name):
+            return {"exterior_image_1_left": "observation/image", "wrist_image_left": "observation/wrist_image", **{c: f"observation/{c}" for c in ("joint_position", "gripper_position")}, "actions": "actions", "prompt": "prompt"}
+        return None
+
+    def sources(name: str) -> tuple[Source, ...]:
+        return mix if name.endswith("_polaris") else (droid_set,) if "full_droid" in name else ()
+
+    configs = [Config(name, robot, model, delta, prompts.get(name), stored=stored(name, robot), sources=sources(name)) for name, robot, model, delta in rows]
     if len({c.name for c in configs}) != len(configs):
         raise ValueError("config names must be unique")
     return {c.name: c for c in configs}
