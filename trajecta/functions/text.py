@@ -91,6 +91,17 @@ def between_markers(text: Column) -> Column:
     return F.when(F.contains(text, F.lit("Action: ")), F.substring_index(F.element_at(F.split(text, "Action: ", 2), 2), "|", 1))
 
 
+def action_tokens(tokens: Column, vocabulary: int, encode: Callable[[Column], Column] = characters) -> Column:
+    """Action ids between the tokens of `Action: ` and of the next bar (or the end); null without the marker."""
+    marker, bar = encode(F.lit("Action: ")), F.element_at(encode(F.lit("|")), 1)
+    n = F.size(marker)
+    at = F.get(F.filter(F.transform(tokens, lambda _, i: i), lambda i: F.slice(tokens, i + 1, n) == marker), 0)
+    rest = F.slice(tokens, F.coalesce(at, F.lit(0)) + n + 1, F.size(tokens))
+    end = F.array_position(rest, bar).cast("int")
+    inner = F.when(end > 0, F.slice(rest, F.lit(1), F.greatest(end - 1, F.lit(0)))).otherwise(rest)
+    return F.when(at.isNotNull(), F.transform(inner, lambda t: remap(t, vocabulary)))
+
+
 def decode_bins(tokens: Column, horizon: int, dim: int, bins: int = 256) -> Column:
     """Tokens to [horizon][dim] values in [-1, 1]; zeros if there are fewer than horizon * dim (or null), the rest cut."""
     zeros = F.array_repeat(F.array_repeat(F.lit(0.0), dim), horizon)

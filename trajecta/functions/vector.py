@@ -161,6 +161,30 @@ def encode_actions_inverse(x: Column, adapt: bool = True) -> Column:
     return at_grippers(flip_joints(x), gripper_from_angular_inverse) if adapt else x
 
 
+def _arms(left: Column, right: Column, gripper: Callable[[Column], Column], place: int) -> Column:
+    return F.concat(*(part for arm in (left, right) for part in (F.slice(arm, 1, 6), F.array(gripper(F.get(arm, F.lit(place)))))))
+
+
+def two_arm_position(left: Column, right: Column) -> Column:
+    """14 dimensions of the two followers' raw positions: six joints and the fingers (element 7) on the unit scale, arm by arm."""
+    return _arms(left, right, lambda v: gripper_convert(v, "follower", "unit"), 7)
+
+
+def two_arm_velocity(left: Column, right: Column) -> Column:
+    """The same of raw velocities."""
+    return _arms(left, right, lambda v: gripper_velocity(v, "follower"), 7)
+
+
+def two_arm_effort(left: Column, right: Column) -> Column:
+    """The first seven efforts of each arm."""
+    return F.concat(F.slice(left, 1, 7), F.slice(right, 1, 7))
+
+
+def two_arm_action(left: Column, right: Column) -> Column:
+    """14 dimensions of the two leaders' joints, the gripper from its joint (element 6)."""
+    return _arms(left, right, lambda v: gripper_convert(v, "leader_joint", "unit"), 6)
+
+
 def quaternion_to_axis_angle(x: Column) -> Column:
     """[x, y, z, w] to a rotation vector; zero where the angle is (nearly) zero."""
     w = clip(F.get(x, 3), -1.0, 1.0)

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from trajecta.operators import sampling
+
 
 def required(df: DataFrame, table: DataFrame, key: str, value: str, out: str, error: str = "not found") -> DataFrame:
     """df with table[key]; a key without a row is an error."""
@@ -35,6 +37,24 @@ def frame_flags(frames: DataFrame, ranges: DataFrame, episode: str, t: str, out:
     return frames.join(r, F.col(episode) == F.col("_episode"), "left").withColumn(out, F.coalesce(inside, F.lit(False))).drop("_episode", "_ranges")
 
 
+def restructured(steps: DataFrame, ranges: DataFrame | None = None, joint_position: bool = True, seed: int = 0) -> DataFrame:
+    """Recorded steps (recording_folderpath, file_path, t, action_dict, observation, language_instruction, _2, _3) as actions, observation, prompt,
+    step_id and passes_filter; the outer camera and the instruction are chosen by trajectory. ranges are by episode `folder--file`; without them all pass."""
+    episode = F.concat_ws("--", "recording_folderpath", "file_path")
+    key, action = F.xxhash64("recording_folderpath", "file_path"), "joint_position" if joint_position else "joint_velocity"
+    outer = F.when(sampling.unit(key, seed) > 0.5, F.col("observation.exterior_image_1_left")).otherwise(F.col("observation.exterior_image_2_left"))
+    names = F.array("language_instruction", "language_instruction_2", "language_instruction_3")
+    made = steps.select(
+        episode.alias("episode"),
+        "t",
+        F.concat(F.col(f"action_dict.{action}"), F.col("action_dict.gripper_position")).alias("actions"),
+        F.struct(outer.alias("image"), F.col("observation.wrist_image_left").alias("wrist_image"), F.col("observation.joint_position").alias("joint_position"), F.col("observation.gripper_position").alias("gripper_position")).alias("observation"),
+        sampling.chosen(key, names, seed + 1).alias("prompt"),
+        F.concat_ws("--", episode, F.col("t").cast("string")).alias("step_id"),
+    )
+    return made.withColumn("passes_filter", F.lit(True)) if ranges is None else frame_flags(made, ranges, "episode", "t")
+
+
 def ranges_of_map(filters: Column) -> Column:
     """map<string, array<array<int>>> exploded is done by the caller; this turns one list into structs."""
     return F.transform(filters, lambda r: F.struct(F.get(r, 0).alias("start"), F.get(r, 1).alias("end")))

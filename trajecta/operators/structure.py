@@ -90,6 +90,14 @@ def keyed_map(df: DataFrame, selector: Mapping[str, object], body: Callable[[Col
     return df.select(*nested({p: body(field(p), selector[p]) if p in selector else field(p) for p in known}))
 
 
+def depth(schema: StructType, name: str) -> int:
+    """How many arrays a column is nested in."""
+    kind, n = schema[name].dataType, 0
+    while isinstance(kind, ArrayType):
+        kind, n = kind.elementType, n + 1
+    return n
+
+
 def default_column(df: DataFrame, name: str, value: str | None) -> DataFrame:
     """The column with a constant if it is absent; a null in an existing column is a value and stays."""
     return df if value is None or name in df.columns else df.withColumn(name, F.lit(value))

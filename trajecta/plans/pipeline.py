@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trajecta.functions import text, vector
-from trajecta.functions.images import zero_image
+from trajecta.functions.images import resize_with_pad, zero_image
 from trajecta.operators import lookup, sampling, structure
 from trajecta.operators.stats import NormStats
 from trajecta.operators.structure import Transform
@@ -178,6 +178,34 @@ def tokenized(model: Model, encode=text.characters) -> Transform:
     return run
 
 
+SLOTS = tuple(ROBOTS["aloha"].cameras)
+
+
+def resized(slots: Sequence[str] = SLOTS, height: int = 224, width: int = 224) -> Transform:
+    """The images of the slots scaled without distortion and padded; a slot without an image stays absent."""
+
+    def run(df: DataFrame) -> DataFrame:
+        if "image" not in df.columns:
+            return df
+        new = F.create_map(*(x for s in slots for x in (F.lit(s), resize_with_pad(F.try_element_at("image", F.lit(s)), height, width))))
+        return df.withColumn("image", F.map_filter(new, lambda _, v: v["data"].isNotNull()))
+
+    return run
+
+
+def decoded(model: Model, encode=text.characters) -> Transform:
+    """Tokens that a FAST model gave as actions to [horizon][dim] values; zeros where they are not whole. Other tables are unchanged.
+
+    Like the way in, by bins: the trained action tokenisers are not built."""
+
+    def run(df: DataFrame) -> DataFrame:
+        if model.family is not Family.FAST or "actions" not in df.columns or structure.depth(df.schema, "actions") != 1:
+            return df
+        return df.withColumn("actions", text.decode_bins(text.action_tokens(F.col("actions"), VOCABULARY, encode), model.horizon, model.dim))
+
+    return run
+
+
 def padded(dim: int) -> Transform:
     """State and actions filled up to the model's dimension."""
 
@@ -218,10 +246,15 @@ class Config:
             group = group.push([deltas(mask)], [deltas(mask, absolute=True)])
         return group
 
+    @property
+    def slots(self) -> tuple[str, ...]:
+        robot = ROBOTS[self.robot] if self.robot else None
+        return tuple((robot.fast_cameras if self.model.family is Family.FAST and robot.fast_cameras else robot.cameras) if robot else SLOTS)
+
     def training(self, stats: dict[str, NormStats]) -> Transform:
-        """repack, robot, delta, scale, default prompt, tokens, pad: the order matters, as statistics are of unpadded deltas."""
+        """repack, robot, delta, scale, default prompt, resize, tokens, pad: the order matters, as statistics are of unpadded deltas."""
         steps: list[Transform] = [lambda df: structure.repack(df, self.repack)] if self.repack else []
-        steps += [*self.data_group().inputs, scaled(stats, self.scales_by_quantile), lambda df: structure.default_column(df, "prompt", self.default_prompt), tokenized(self.model)]
+        steps += [*self.data_group().inputs, scaled(stats, self.scales_by_quantile), lambda df: structure.default_column(df, "prompt", self.default_prompt), resized(self.slots), tokenized(self.model)]
         if self.model.family is not Family.FAST:
             steps.append(padded(self.model.dim))
         return structure.compose(*steps)
@@ -239,8 +272,8 @@ class Config:
         return sampling.mixed({s.name: (lookup.frame_filter(frames[s.name], ranges[s.name] if s.ranges else None, episode, t), s.weight) for s in self.sources}, key, seed)
 
     def inference_outputs(self, stats: dict[str, NormStats]) -> Transform:
-        """unscale, absolute, robot slice: deltas are undone at padded width."""
-        return structure.compose(scaled(stats, self.scales_by_quantile, inverse=True), *self.data_group().outputs)
+        """FAST decode, unscale, absolute, robot slice: deltas are undone at padded width."""
+        return structure.compose(decoded(self.model), scaled(stats, self.scales_by_quantile, inverse=True), *self.data_group().outputs)
 
 
 def _models() -> dict[str, Config]:
