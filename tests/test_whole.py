@@ -62,3 +62,11 @@ def test_epoch_query_goes_round_after_the_whole_table(spark, tmp_path):
     spark.range(7 * 200 + 50).select(F.col("id").alias("event_id")).write.parquet(f"{tmp_path}/events.parquet")
     got = sorted(tuple(r) for r in catalog.queries()["epoch_cycle_whole"](spark, str(tmp_path)).collect())
     assert got == [(step, step % 7 * 200 + i) for step in range(10) for i in range(200)]
+
+
+def test_chunks_have_all_dimensions(spark, tmp_path):
+    lines = [(7, n, n, n, 10.0 * n, 1.0 * n, 0.01 * n, 0.001 * n) for n in range(1, 7)]
+    df = spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_partkey long, l_suppkey long, l_extendedprice double, l_quantity double, l_discount double, l_tax double")
+    df.withColumn("l_shipdate", F.lit("2020-01-01").cast("date")).write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = sorted((r.t, r.k, r.dim, r.v) for r in catalog.queries()["chunk_clamp_whole"](spark, str(tmp_path)).collect())
+    assert got == [(t, k, d, pytest.approx(round((1, 10, 0.01, 0.001)[d] * (min(t + k, 5) + 1), 4))) for t in range(6) for k in range(4) for d in range(4)]

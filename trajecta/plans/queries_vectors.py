@@ -45,6 +45,11 @@ def chunk_clamp(spark, sf_dir):
     return steps(chunks(spark, sf_dir), "actions").where("dim < 2")
 
 
+@query("chunk_clamp_whole", f"WITH {CHUNKS} SELECT episode, t, CAST(k AS INT) AS k, CAST(dim AS INT) AS dim, round(raw, 4) AS v FROM ch")
+def chunk_clamp_whole(spark, sf_dir):
+    return steps(chunks(spark, sf_dir), "actions")
+
+
 @query("delta_actions", f"WITH {CHUNKS} SELECT episode, t, CAST(k AS INT) AS k, CAST(dim AS INT) AS dim, round(v, 4) AS v FROM ch")
 def delta_actions(spark, sf_dir):
     return steps(chunks(spark, sf_dir).withColumn("actions", vector.delta_actions(F.col("actions"), F.col("state"), vector.bool_mask(2, -2))), "actions")
