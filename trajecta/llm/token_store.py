@@ -43,19 +43,28 @@ def _codec(dictionary: bytes, level: int):
     return zstandard.ZstdCompressor(level=level, dict_data=d, write_checksum=False, write_content_size=True), zstandard.ZstdDecompressor(dict_data=d)
 
 
-def train_dictionary(docs: DataFrame, path: str, end_id: int, key: str, column: str, sample: int, head: int, size: int) -> bytes:
-    """A dictionary trained on the id arrays of at most `sample` documents, those with the least hashed keys, of each at most
-    the first `head` bytes; empty if there are too few of them to train on."""
-    ids = [r[0] for r in docs.select(key).where(F.col(key).isNotNull()).orderBy(F.xxhash64(key), key).limit(sample).collect()]
-    if not ids:
-        return b""
-    rows = docs.where(F.col(key).isin(ids)).select(F.substring(F.col(column), 1, head).alias("text")).limit(sample).collect()
-    encoder = tokens.loaded(path)
-    kind = f"<u{_width(encoder.library.get_vocab_size())}"
-    flat, edge = encoder.encode(*tx.buffers(pa.array([r[0] or "" for r in rows], pa.string())))
-    samples = sorted((np.append(flat[a:b], end_id).astype(kind).tobytes()[:head] for a, b in zip(edge[:-1], edge[1:])), key=lambda x: hashlib.sha256(x).digest())
+def train_dictionary(docs: DataFrame, path: str, end_id: int, key: str, column: str, piece: int, size: int) -> bytes:
+    """A dictionary trained on pieces of `piece` characters from all over all texts, chosen by hash so that there are about 100 bytes
+    of ids (200 characters) to each byte of the dictionary, or the whole texts if they are shorter; empty if that is too little to train on."""
+    length = F.length(column)
+    total = docs.agg(F.sum(length)).first()[0] or 0
+    pieces = docs.select(F.col(key).alias("_key"), F.col(column).alias("_text"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((length - 1) / piece)))).alias("_n"))
+    if total > 200 * size:
+        pieces = pieces.where(F.pmod(F.xxhash64("_key", F.xxhash64("_text"), "_n"), F.lit(1 << 40)) < int((1 << 40) * 200 * size / total))
+    chosen = pieces.select(F.substring("_text", F.col("_n") * piece + 1, F.lit(piece)).alias("text"), (F.col("_n") == F.greatest(F.lit(0), F.floor((F.length("_text") - 1) / piece))).alias("last"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = tokens.loaded(path)
+        kind = f"<u{_width(encoder.library.get_vocab_size())}"
+        for rows, raw, at in tx.slices(batches, "text", tokens.SLICE_BYTES):
+            flat, edge = encoder.encode(raw, at)
+            ends = rows.column(rows.schema.get_field_index("last")).to_pylist()
+            ids = [np.append(flat[a:b], end_id) if end else flat[a:b] for a, b, end in zip(edge[:-1].tolist(), edge[1:].tolist(), ends)]
+            yield pa.RecordBatch.from_arrays([pa.array([x.astype(kind).tobytes() for x in ids], pa.binary())], ["ids"])
+
+    samples = sorted((bytes(r[0]) for r in chosen.mapInArrow(run, "ids binary").collect()), key=lambda x: hashlib.sha256(x).digest())
     try:
-        return zstandard.train_dictionary(size, samples).as_bytes()
+        return zstandard.train_dictionary(size, samples).as_bytes() if samples else b""
     except zstandard.ZstdError:
         return b""
 
@@ -89,9 +98,9 @@ class Block:
         return np.frombuffer(self.codec.decompress(self.frames[self.index[n] : self.index[n + 1]]), f"<u{self.width}")
 
 
-def write(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", column: str = "text", *, sample: int = 1000, head: int = 16_384, dictionary_bytes: int = 32_768, level: int = 3) -> tuple[DataFrame, bytes]:
-    """The stored block table and its dictionary. The dictionary is trained on a bounded sample; every document is written."""
-    dictionary = train_dictionary(docs, path, end_id, key, column, sample, head, dictionary_bytes)
+def write(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", column: str = "text", *, piece: int = 4096, dictionary_bytes: int = 32_768, level: int = 3) -> tuple[DataFrame, bytes]:
+    """The stored block table and its dictionary. The dictionary is trained on a sample from all over the texts; every document is written."""
+    dictionary = train_dictionary(docs, path, end_id, key, column, piece, dictionary_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.loaded(path)
