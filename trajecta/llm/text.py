@@ -1,7 +1,8 @@
-"""Vectorised helpers shared by the text operators: Arrow slices, words, and 64-bit hashes in numpy.
+"""Vectorised helpers shared by the text operators: Arrow slices, words, and hashes in numpy.
 
-Words are maximal runs of bytes other than space and 0x09-0x0D. Hashes are polynomials modulo 2**64 with odd bases followed
-by a mixing step; two different strings agree with a chance of about 2**-64.
+Words are maximal runs of bytes other than space and 0x09-0x0D. Hashes are polynomials modulo the prime 2**61 - 1 at fixed points that
+were drawn at random: two different strings of at most n symbols, chosen without regard to the point, have equal hashes with a chance
+of at most n / 2**61. (Modulo 2**64 there are strings that collide at every point.) A mixing step, which maps no two values to one, spreads their bits.
 """
 
 from __future__ import annotations
@@ -19,8 +20,10 @@ IS_SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
-_BASE = 0x9E3779B97F4A7C15 | 1
-_SYMBOL_BASE = 0xD1B54A32D192ED03
+PRIME = U((1 << 61) - 1)
+_POINT = 0x11C5A6F0D3B94E27
+_SYMBOL_POINT = 0x0A7D3F8C6B1E5942
+_BLOCK = 1 << 15
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -34,38 +37,61 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**i and base**-i modulo 2**64 for i up to n."""
-    have = _tables.get(base)
+def _reduced(x: np.ndarray) -> np.ndarray:
+    """x modulo 2**61 - 1."""
+    x = (x & PRIME) + (x >> U(61))
+    np.subtract(x, PRIME, out=x, where=x >= PRIME)
+    return x
+
+
+def product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a * b modulo 2**61 - 1 of residues, by halves of 31 and 30 bits, a cache-sized block at a time."""
+    out = np.empty(len(a), U)
+    for i in range(0, len(a), _BLOCK):
+        x, y = a[i : i + _BLOCK], b[i : i + _BLOCK]
+        xh, yh, xl, yl = x >> U(31), y >> U(31), x & U(0x7FFFFFFF), y & U(0x7FFFFFFF)
+        mid = xl * yh + xh * yl
+        out[i : i + _BLOCK] = _reduced((xh * yh << U(1)) + (mid >> U(30)) + ((mid & U(0x3FFFFFFF)) << U(31)) + xl * yl)
+    return out
+
+
+def _powers(point: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """point**i and point**-i modulo 2**61 - 1 for i up to n."""
+    have = _tables.get(point)
     if have is None or len(have[0]) <= n:
         size = max(n + 1, SLICE_BYTES + 4096)
-        inverse = pow(base, -1, 1 << 64)
         out = []
-        for b in (base, inverse):
-            a = np.full(size, b, U)
-            a[0] = 1
-            out.append(np.multiply.accumulate(a))
+        for b in (point, pow(point, -1, int(PRIME))):
+            a = np.ones(size, U)
+            done = 1
+            while done < size:
+                more = min(done, size - done)
+                a[done : done + more] = product(a[:more], np.full(more, pow(b, done, int(PRIME)), U))
+                done += more
+            out.append(a)
         have = out[0], out[1]
         if size <= 4 * SLICE_BYTES:
-            _tables[base] = have
+            _tables[point] = have
     return have
 
 
 class Rolling:
-    """Hashes of any ranges of one symbol sequence, by prefix sums."""
+    """Hashes of any ranges of one symbol sequence, by prefix sums. Symbols are below 2**61 - 2 or are taken modulo 2**61 - 1."""
 
-    def __init__(self, symbols: np.ndarray, base: int = _BASE):
-        power, self.inverse = _powers(base, len(symbols))
+    def __init__(self, symbols: np.ndarray, point: int = _POINT):
+        power, self.inverse = _powers(point, len(symbols))
+        terms = product(_reduced(symbols.astype(U)) + U(1), power[: len(symbols)])
+        high, low = np.cumsum(terms >> U(31)), np.cumsum(terms & U(0x7FFFFFFF))
         self.prefix = np.zeros(len(symbols) + 1, U)
-        np.cumsum((symbols.astype(U) + U(1)) * power[: len(symbols)], out=self.prefix[1:])
+        self.prefix[1:] = _reduced((high >> U(30)) + ((high & U(0x3FFFFFFF)) << U(31)) + low)
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        return mix((self.prefix[end] - self.prefix[start]) * self.inverse[start] + (end - start).astype(U) * U(0x2545F4914F6CDD1D))
+        return mix(product(_reduced(self.prefix[end] + (PRIME - self.prefix[start])), self.inverse[start]))
 
 
 def symbols(values: np.ndarray) -> Rolling:
     """Rolling hashes over 64-bit symbols, such as word hashes."""
-    return Rolling(values, _SYMBOL_BASE)
+    return Rolling(values, _SYMBOL_POINT)
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
