@@ -36,7 +36,7 @@ def test_encoder_equals_library(samples, path):
 
 
 def test_cache_generations(monkeypatch, samples):
-    monkeypatch.setattr(tokens, "CACHE_RUNS", 50)
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 5000)
     test_encoder_equals_library(samples[:700], BYTE)
 
 
@@ -69,7 +69,7 @@ def test_store(docs, empty):
         start += len(ids)
     assert sorted(tuple(r) for r in token_store.checksums(blocks, dictionary).collect()) == [w[:4] for w in want]
     assert sorted((r.doc_id, r.start, r.n_tokens, r.ids) for r in token_store.read(blocks, dictionary).collect()) == [(*w[:3], w[4]) for w in want]
-    assert token_store.lookup(blocks, dictionary, want[3][0]) == [want[3][4]]
+    assert [r.ids for r in token_store.lookup(blocks, dictionary, want[3][0]).collect()] == [want[3][4]]
     with pytest.raises(ValueError):
         token_store.Block(blocks.first().data, b"another")
     assert token_store.checksums(*token_store.write(empty, WORD, end_id=1)).count() == 0
@@ -82,6 +82,44 @@ def test_store_with_equal_keys(spark):
     assert [ids for _, ids in got] == [[*library.encode(t, add_special_tokens=False).ids, 1] for t in "cab"]
 
 
+def test_store_with_null_keys_and_few_documents(spark):
+    """A null key is not a key of -1, and a corpus too small for the trainer still has a dictionary."""
+    df = spark.createDataFrame([(-1, "minus one"), (None, "no key"), (0, None)], "doc_id long, text string")
+    blocks, dictionary = token_store.write(df, WORD, end_id=1)
+    assert dictionary
+    library = Tokenizer.from_file(WORD)
+    ids = lambda t: [*library.encode(t, add_special_tokens=False).ids, 1]
+    assert {r.doc_id: r.ids for r in token_store.read(blocks, dictionary).collect()} == {None: ids("no key"), -1: ids("minus one"), 0: [1]}
+    assert {r.doc_id for r in token_store.checksums(blocks, dictionary).collect()} == {None, -1, 0}
+    for key, text in ((None, "no key"), (-1, "minus one"), (0, "")):
+        assert [r.ids for r in token_store.lookup(blocks, dictionary, key).collect()] == [ids(text)]
+    assert token_store.lookup(blocks, dictionary, 7).count() == 0
+
+
+THUE_MORSE = "a"
+for _ in range(10):
+    THUE_MORSE += THUE_MORSE.translate(str.maketrans("ab", "ba"))
+COMPLEMENT = THUE_MORSE.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_words_that_collide_modulo_powers_of_two(path):
+    library = Tokenizer.from_file(path)
+    flat, edge = tokens.Encoder(path).encode(*tx.buffers(pa.array([THUE_MORSE, COMPLEMENT])))
+    assert [flat[a:b].tolist() for a, b in zip(edge[:-1], edge[1:])] == [library.encode(t, add_special_tokens=False).ids for t in (THUE_MORSE, COMPLEMENT)]
+
+
+def test_hashes():
+    rng = np.random.default_rng(0)
+    x, prime = rng.integers(0, 256, 3000).astype(np.uint8), (1 << 61) - 1
+    rolling = tx.Rolling(x)
+    for a, b in np.sort(rng.integers(0, 3001, (40, 2))):
+        value = sum((int(c) + 1) * pow(tx._POINT, i, prime) for i, c in enumerate(x[a:b])) % prime
+        assert rolling.of(np.array([a]), np.array([b]))[0] == tx.mix(np.array([value], np.uint64))[0]
+    both = np.frombuffer((THUE_MORSE + COMPLEMENT).encode(), np.uint8)
+    assert len(set(tx.Rolling(both).of(np.array([0, 1024]), np.array([1024, 2048])).tolist())) == 2
+
+
 def plain_best_fit(lengths, capacity):
     rooms = []
     for n in sorted(lengths, reverse=True):

@@ -1,11 +1,11 @@
 """Token ids in binary blocks, one zstandard frame for each document, with one dictionary for all.
 
-A block is: magic, bytes to an id, documents, SHA-256 of the dictionary; then the documents' keys (int64), token counts (int64) and
-the offset index (int64, one more than documents); then the frames. Any document is read by its two offsets, without the others.
-Blocks are rows of a Parquet table in ascending key order, so Spark's commit protocol covers lost executors; the dictionary is
-stored once beside them, and a reader refuses a block whose dictionary hash differs.
+A block is: magic, bytes to an id, documents, SHA-256 of the dictionary; then the documents' keys (int64), one byte each that is 1 if the key
+is null, token counts (int64) and the offset index (int64, one more than documents); then the frames. Any document is read by its two offsets, without the others.
+Blocks are rows of a Parquet table in ascending key order with their least and greatest key, so `lookup` reads only those that can hold a key.
+Spark's commit protocol covers lost executors; the dictionary is stored once beside them, and a reader refuses a block whose dictionary hash differs.
 
-Defined results: null and empty text are the end id alone; equal keys stand in the order of their texts, nulls first; a table
+Defined results: null and empty text are the end id alone; equal keys stand in the order of their texts, nulls first; null keys come first and stay null; a table
 without rows gives a store without blocks; texts are whole at any length. Other columns are not read.
 """
 
@@ -23,14 +23,16 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from trajecta.llm import text as tx
 from trajecta.llm import tokens
 from trajecta.llm.tables import stored
 
-MAGIC = b"TOKB1\0"
+MAGIC = b"TOKB2\0"
 HEAD = struct.Struct("<6sHI32s")
-BLOCKS = "part int, block int, part_start long, n_docs int, n_tokens long, data binary"
+BLOCKS = "part int, block int, part_start long, n_docs int, n_tokens long, low long, high long, n_null int, data binary"
+NAMES = [c.split()[0] for c in BLOCKS.split(", ")]
 
 
 def _width(vocabulary: int) -> int:
@@ -45,13 +47,18 @@ def _codec(dictionary: bytes, level: int):
 
 def train_dictionary(docs: DataFrame, path: str, end_id: int, key: str, column: str, piece: int, size: int) -> bytes:
     """A dictionary trained on pieces of `piece` characters from all over all texts, chosen by hash so that there are about 100 bytes
-    of ids (200 characters) to each byte of the dictionary, or the whole texts if they are shorter; empty if that is too little to train on."""
+    of ids (200 characters) to each byte of the dictionary, or the whole texts if they are shorter. Of samples that are too few for the
+    trainer the dictionary is made by joining them; there is none only if there are no documents."""
     length = F.length(column)
     total = docs.agg(F.sum(length)).first()[0] or 0
-    pieces = docs.select(F.col(key).alias("_key"), F.col(column).alias("_text"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((length - 1) / piece)))).alias("_n"))
+    last = F.greatest(F.lit(0), F.floor((F.coalesce(F.col("_length"), F.lit(0)) - 1) / piece)).cast("int")
+    numbers = F.sequence(F.lit(0), last)
     if total > 200 * size:
-        pieces = pieces.where(F.pmod(F.xxhash64("_key", F.xxhash64("_text"), "_n"), F.lit(1 << 40)) < int((1 << 40) * 200 * size / total))
-    chosen = pieces.select(F.substring("_text", F.col("_n") * piece + 1, F.lit(piece)).alias("text"), (F.col("_n") == F.greatest(F.lit(0), F.floor((F.length("_text") - 1) / piece))).alias("last"))
+        bound = int((1 << 40) * 200 * size / total)
+        numbers = F.filter(numbers, lambda n: F.pmod(F.xxhash64("_hash", n), F.lit(1 << 40)) < bound)
+    texts = docs.select(F.col(column).alias("_text"), length.alias("_length"), F.xxhash64(key, column).alias("_hash"))
+    chosen = texts.withColumn("_numbers", numbers).where(F.size("_numbers") > 0).withColumn("_n", F.explode("_numbers"))
+    chosen = chosen.select(F.substring("_text", F.col("_n") * piece + 1, F.lit(piece)).alias("text"), (F.col("_n") == last).alias("last"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.loaded(path)
@@ -66,15 +73,16 @@ def train_dictionary(docs: DataFrame, path: str, end_id: int, key: str, column:
     try:
         return zstandard.train_dictionary(size, samples).as_bytes() if samples else b""
     except zstandard.ZstdError:
-        return b""
+        return b"".join(samples).ljust(8, b"\0")[-size:]
 
 
-def pack_block(keys: list[int], ids: list[np.ndarray], dictionary: bytes, width: int, level: int = 3) -> bytes:
+def pack_block(keys: list[int | None], ids: list[np.ndarray], dictionary: bytes, width: int, level: int = 3) -> bytes:
     compress, _ = _codec(dictionary, level)
     frames = [compress.compress(x.astype(f"<u{width}").tobytes()) for x in ids]
     index = np.concatenate([[0], np.cumsum([len(f) for f in frames])]).astype("<i8")
     counts = np.array([len(x) for x in ids], "<i8")
-    return b"".join([HEAD.pack(MAGIC, width, len(keys), hashlib.sha256(dictionary).digest()), np.array(keys, "<i8").tobytes(), counts.tobytes(), index.tobytes(), *frames])
+    numbers, nulls = np.array([0 if k is None else k for k in keys], "<i8"), bytes(k is None for k in keys)
+    return b"".join([HEAD.pack(MAGIC, width, len(keys), hashlib.sha256(dictionary).digest()), numbers.tobytes(), nulls, counts.tobytes(), index.tobytes(), *frames])
 
 
 class Block:
@@ -86,14 +94,18 @@ class Block:
             raise ValueError("not a block of this dictionary")
         at = HEAD.size
         self.keys = np.frombuffer(data, "<i8", n, at)
-        self.counts = np.frombuffer(data, "<i8", n, at + 8 * n)
-        self.index = np.frombuffer(data, "<i8", n + 1, at + 16 * n)
-        self.frames = memoryview(data)[at + 24 * n + 8 :]
+        self.nulls = np.frombuffer(data, np.uint8, n, at + 8 * n) > 0
+        self.counts = np.frombuffer(data, "<i8", n, at + 9 * n)
+        self.index = np.frombuffer(data, "<i8", n + 1, at + 17 * n)
+        self.frames = memoryview(data)[at + 25 * n + 8 :]
         self.codec = _codec(dictionary, 3)[1]
 
     def __len__(self) -> int:
         return len(self.keys)
 
+    def key_column(self) -> pa.Array:
+        return pa.array(self.keys, mask=self.nulls)
+
     def ids(self, n: int) -> np.ndarray:
         return np.frombuffer(self.codec.decompress(self.frames[self.index[n] : self.index[n + 1]]), f"<u{self.width}")
 
@@ -106,12 +118,16 @@ def write(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", column:
         encoder = tokens.loaded(path)
         width = _width(encoder.library.get_vocab_size())
         part, start = TaskContext.get().partitionId(), 0
+        kinds = [pa.int32() if c.endswith(" int") else pa.binary() if c.endswith(" binary") else pa.int64() for c in BLOCKS.split(", ")]
         for n, (rows, raw, at) in enumerate(tx.slices(batches, column, tokens.SLICE_BYTES)):
             flat, edge = encoder.encode(raw, at)
             ids = [np.append(flat[a:b], end_id) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist())]
             total = sum(map(len, ids))
-            block = pack_block([-1 if k is None else k for k in rows.column(0).to_pylist()], ids, dictionary, width, level)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([n], pa.int32()), pa.array([start]), pa.array([len(ids)], pa.int32()), pa.array([total]), pa.array([block], pa.binary())], ["part", "block", "part_start", "n_docs", "n_tokens", "data"])
+            keys = rows.column(0).to_pylist()
+            known = [k for k in keys if k is not None]
+            low, high = (min(known), max(known)) if known else (None, None)
+            values = [part, n, start, len(ids), total, low, high, len(keys) - len(known), pack_block(keys, ids, dictionary, width, level)]
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds)], NAMES)
             start += total
 
     ordered = docs.select(F.col(key), F.col(column).alias(column)).repartitionByRange(key).sortWithinPartitions(key, column)
@@ -119,7 +135,7 @@ def write(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", column:
 
 
 def read(blocks: DataFrame, dictionary: bytes, key: str = "doc_id") -> DataFrame:
-    """key, start, n_tokens, ids array<int> of every stored document. A null key reads back as -1."""
+    """key, start, n_tokens, ids array<int> of every stored document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -128,19 +144,17 @@ def read(blocks: DataFrame, dictionary: bytes, key: str = "doc_id") -> DataFrame
                 ids = [block.ids(i) for i in range(len(block))]
                 edge = np.concatenate([[0], np.cumsum(block.counts)])
                 flat = pa.array(np.concatenate(ids).astype(np.int32) if ids else np.zeros(0, np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(block.keys), pa.array(edge[:-1] + part_start + base), pa.array(block.counts), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), flat)], [key, "start", "n_tokens", "ids"])
+                yield pa.RecordBatch.from_arrays([block.key_column(), pa.array(edge[:-1] + part_start + base), pa.array(block.counts), pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), flat)], [key, "start", "n_tokens", "ids"])
 
     return _based(blocks).mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids array<int>")
 
 
 def _based(blocks: DataFrame) -> DataFrame:
-    """Blocks with the number of tokens in all partitions before theirs; one total for each write task goes over the driver."""
-    totals = sorted(map(tuple, blocks.groupBy("part").agg(F.sum("n_tokens")).collect()))
-    spark, base, rows = blocks.sparkSession, 0, []
-    for part, n in totals:
-        rows.append((part, base))
-        base += n
-    return blocks.join(F.broadcast(spark.createDataFrame(rows, "part int, base long")), "part").select("part_start", "base", "data")
+    """Blocks with the number of tokens in all partitions before theirs. One row for each write task is summed up in one task; the
+    planner broadcasts them while they are below its threshold."""
+    before = F.sum("n").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1))
+    totals = blocks.groupBy(F.col("part").alias("of")).agg(F.sum("n_tokens").alias("n")).select("of", F.coalesce(before, F.lit(0)).alias("base"))
+    return blocks.join(totals, F.col("part") == F.col("of")).select("part_start", "base", "data")
 
 
 def checksums(blocks: DataFrame, dictionary: bytes, key: str = "doc_id") -> DataFrame:
@@ -152,20 +166,21 @@ def checksums(blocks: DataFrame, dictionary: bytes, key: str = "doc_id") -> Data
                 block = Block(data, dictionary)
                 crc = [zlib.crc32(block.ids(i).astype("<u4").tobytes()) for i in range(len(block))]
                 first = np.cumsum(block.counts) - block.counts + part_start + base
-                yield pa.RecordBatch.from_arrays([pa.array(block.keys), pa.array(first), pa.array(block.counts), pa.array(crc, pa.int64())], [key, "start", "n_tokens", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([block.key_column(), pa.array(first), pa.array(block.counts), pa.array(crc, pa.int64())], [key, "start", "n_tokens", "ids_crc32"])
 
     return _based(blocks).mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids_crc32 long")
 
 
-def lookup(blocks: DataFrame, dictionary: bytes, key: int) -> list[list[int]]:
-    """The ids of the documents with one key, by the offset index."""
+def lookup(blocks: DataFrame, dictionary: bytes, key: int | None) -> DataFrame:
+    """ids array<int> of each document with one key, by the offset index, from the blocks that can hold it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column(0).to_pylist():
                 block = Block(data, dictionary)
-                found = [block.ids(int(i)).tolist() for i in np.flatnonzero(block.keys == key)]
-                if found:
-                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["ids"])
+                found = np.flatnonzero(block.nulls if key is None else (block.keys == key) & ~block.nulls)
+                if len(found):
+                    yield pa.RecordBatch.from_arrays([pa.array([block.ids(int(i)).tolist() for i in found], pa.list_(pa.int32()))], ["ids"])
 
-    return [r.ids for r in blocks.select("data").mapInArrow(run, "ids array<int>").collect()]
+    wanted = F.col("n_null") > 0 if key is None else (F.col("low") <= key) & (F.col("high") >= key)
+    return blocks.where(wanted).select("data").mapInArrow(run, "ids array<int>")
