@@ -147,33 +147,34 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int, key: str = "d
 def pack(docs: DataFrame, path: str, end_id: int, capacity: int = 1024, key: str = "doc_id", column: str = "text") -> DataFrame:
     """key, piece, start, length, ids_crc32, sequence_id, offset: all documents packed.
 
-    Only the counts of lengths (at most `capacity` rows) and the plan go over the driver; the plan has few intervals to a length, of
-    a number that depends on `capacity` alone, and is broadcast."""
-    spark = docs.sparkSession
+    Only the counts of lengths (at most `capacity` rows) go over the driver, and the plan goes to the tasks; it has few intervals to a
+    length, of a number that depends on `capacity` alone. Pieces meet the counts of the tasks before theirs, at most `capacity` numbers, by their write task."""
     cut = stored(pieces(docs, path, end_id, capacity, key, column), "pieces")
     counts = cut.groupBy("length", "part").agg(F.count(F.lit(1)).alias("n"))
-    before = counts.withColumn("before", F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)))
-    before = stored(before.select("length", "part", "n", F.coalesce("before", F.lit(0)).alias("before")), "piece-counts")
-    lengths = {r[0]: r[1] for r in before.groupBy("length").agg(F.sum("n")).collect()}
-    rows = plan(lengths, capacity)
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    counts = stored(counts.select("length", "part", "n", before.alias("before")), "piece-counts")
+    lengths = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
     steps: dict[int, list] = {}
-    for length, low, high, first, each, offset in rows:
-        steps.setdefault(length, []).append((low, high, first, each, offset))
+    for length, low, _, first, each, offset in plan(lengths, capacity):
+        steps.setdefault(length, []).append((low, first, each, offset))
     table = {n: tuple(np.array(x, np.int64) for x in zip(*steps[n])) for n in steps}
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            length, rank = (batch.column(i).to_numpy() for i in (3, 5))
-            sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
-            order = np.argsort(length, kind="stable")
-            for block in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []:
-                n = int(length[block[0]])
-                low, _, first, each, begin = table[n]
-                i = np.searchsorted(low, rank[block], "right") - 1
-                step = rank[block] - low[i]
-                sequence[block] = first[i] + step // each[i]
-                offset[block] = begin[i] + n * (step % each[i])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(offset)], [key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
-
-    ranked = cut.join(before.select("length", "part", "before"), ["length", "part"]).select(key, "piece", "start", "length", "ids_crc32", (F.col("rank") + F.col("before")).alias("rank"))
-    return ranked.mapInArrow(place, f"`{key}` {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    names = [key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+    def place(task: pa.Table, earlier: pa.Table) -> pa.Table:
+        length, rank = (task.column(c).to_numpy() for c in ("length", "rank"))
+        base = np.zeros(capacity + 1, np.int64)
+        base[earlier.column("length").to_numpy()] = earlier.column("before").to_numpy()
+        rank = rank + base[length]
+        sequence, offset = np.zeros(len(length), np.int64), np.zeros(len(length), np.int64)
+        order = np.argsort(length, kind="stable")
+        for block in np.split(order, np.flatnonzero(np.diff(length[order])) + 1) if len(order) else []:
+            n = int(length[block[0]])
+            low, first, each, begin = table[n]
+            i = np.searchsorted(low, rank[block], "right") - 1
+            step = rank[block] - low[i]
+            sequence[block] = first[i] + step // each[i]
+            offset[block] = begin[i] + n * (step % each[i])
+        return pa.table([*(task.column(i) for i in range(5)), pa.array(sequence), pa.array(offset)], names)
+
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
+    return cut.groupBy("part").cogroup(counts.groupBy("part")).applyInArrow(place, schema)

@@ -149,11 +149,13 @@ def read(blocks: DataFrame, dictionary: bytes, key: str = "doc_id") -> DataFrame
     return _based(blocks).mapInArrow(run, f"`{key}` long, start long, n_tokens long, ids array<int>")
 
 
-def _based(blocks: DataFrame) -> DataFrame:
-    """Blocks with the number of tokens in all partitions before theirs. One row for each write task is summed up in one task; the
-    planner broadcasts them while they are below its threshold."""
+def _based(blocks: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """Blocks with the number of tokens in all partitions before theirs. There is one row for each write task; up to `most` of them
+    (16 MB) are broadcast, beyond that they are joined."""
     before = F.sum("n").over(Window.orderBy("of").rowsBetween(Window.unboundedPreceding, -1))
     totals = blocks.groupBy(F.col("part").alias("of")).agg(F.sum("n_tokens").alias("n")).select("of", F.coalesce(before, F.lit(0)).alias("base"))
+    if (blocks.agg(F.max("part")).first()[0] or 0) < most:
+        totals = F.broadcast(totals)
     return blocks.join(totals, F.col("part") == F.col("of")).select("part_start", "base", "data")
 
 
