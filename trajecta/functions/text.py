@@ -109,14 +109,20 @@ def decode_bins(tokens: Column, horizon: int, dim: int, bins: int = 256) -> Colu
     return F.when(F.coalesce(F.size(tokens), F.lit(-1)) >= horizon * dim, rows).otherwise(zeros)
 
 
+def running(x: Column) -> Column:
+    """Running sums of an array."""
+    last = lambda a: F.when(F.size(a) == 0, F.lit(0)).otherwise(F.try_element_at(a, F.lit(-1)))
+    return F.aggregate(x, F.array().cast("array<int>"), lambda a, v: F.concat(a, F.array(last(a) + v.cast("int"))))
+
+
 def positions(valid: Column) -> Column:
     """Running number of valid elements, less one."""
-    return F.transform(valid, lambda _, i: F.aggregate(F.slice(valid, 1, i + 1), F.lit(0), lambda a, v: a + v.cast("int")) - 1)
+    return F.transform(running(valid), lambda n: n - 1)
 
 
 def attention(ar: Column, valid: Column) -> Column:
     """mask[i][j]: j is visible to i if both are valid and the running sum of ar at j is at most that at i."""
-    sums = F.transform(ar, lambda _, i: F.aggregate(F.slice(ar, 1, i + 1), F.lit(0), lambda a, v: a + v.cast("int")))
+    sums = running(ar)
     both = F.arrays_zip(sums.alias("s"), valid.alias("v"))
     return F.transform(both, lambda a: F.transform(both, lambda b: (b["s"] <= a["s"]) & a["v"] & b["v"]))
 

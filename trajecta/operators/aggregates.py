@@ -50,10 +50,12 @@ def frequency(df: DataFrame, key: str, seconds: Column) -> DataFrame:
 
 
 def moving_average(df: DataFrame, key: str, step: str, value: str, decay: float) -> DataFrame:
-    """decay * old + (1 - decay) * new over the steps of each key, from the first value."""
-    rows = F.array_sort(F.collect_list(F.struct(step, value)))
-    fold = F.aggregate(F.slice(F.col("_rows"), F.lit(2), F.size("_rows")), F.get("_rows", F.lit(0))[value].cast("double"), lambda old, new: old * decay + new[value] * (1 - decay))
-    return df.groupBy(key).agg(rows.alias("_rows")).select(key, fold.alias("ema"))
+    """decay * old + (1 - decay) * new over the steps of each key, from the first value: each value times its weight, which its place from the end gives, so
+    that no key is gathered in one row. A null value makes the average null."""
+    after = Window.partitionBy(key).orderBy(F.col(step).desc(), F.col(value).desc())
+    weight = F.pow(F.lit(float(decay)), F.row_number().over(after) - 1) * F.when(F.lead(F.lit(1)).over(after).isNull(), 1.0).otherwise(1.0 - decay)
+    total = F.when(F.count(value) == F.count(F.lit(1)), F.sum(F.col(value).cast("double") * F.col("_weight")))
+    return df.select(key, value, weight.alias("_weight")).groupBy(key).agg(total.alias("ema"))
 
 
 def next_index(df: DataFrame, column: str) -> DataFrame:

@@ -36,7 +36,8 @@ def moments(long: DataFrame) -> DataFrame:
 def histogram(long: DataFrame, extremes: DataFrame, bins: int = BINS) -> DataFrame:
     """field, dim, bin, n, min, width over equal bins; the greatest value is in the last. At most bins rows to a dimension are shuffled."""
     edges = extremes.select("field", "dim", F.col("min").alias("low"), ((F.col("max") - F.col("min")) / bins).alias("width"))
-    placed = long.where(F.col("v").isNotNull()).join(edges, ["field", "dim"])
+    # One row for each element of the vectors, whatever the number of rows.
+    placed = long.where(F.col("v").isNotNull()).join(F.broadcast(edges), ["field", "dim"])
     number = F.when(F.col("width") > 0, F.least(F.lit(bins - 1), F.floor((F.col("v") - F.col("low")) / F.col("width")))).otherwise(0)
     return placed.withColumn("bin", number.cast("int")).groupBy("field", "dim", "bin", "low", "width").agg(F.count(F.lit(1)).alias("n"))
 

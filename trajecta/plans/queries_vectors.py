@@ -13,10 +13,11 @@ from trajecta.plans.catalog import EV, LI, LONG, ev_frames, exploded, li_frames,
 
 HORIZON = 4
 MEAN, STD, LOW, HIGH = [25.0, 30000.0, 0.05, 0.04], [14.0, 20000.0, 0.03, 0.02], [1.0, 900.0, 0.0, 0.0], [50.0, 95000.0, 0.1, 0.08]
-CHUNKS = f"""{LONG}, last AS (SELECT episode, max(t) AS last FROM li GROUP BY episode),
- ch AS (SELECT a.episode, a.t, k.k, a.dim, b.v - CASE WHEN a.dim < 2 THEN a.v ELSE 0 END AS v, b.v AS raw
- FROM lo a JOIN last l ON a.episode = l.episode CROSS JOIN (SELECT unnest([0, 1, 2, 3]) AS k) k
- JOIN lo b ON b.episode = a.episode AND b.dim = a.dim AND b.t = least(a.t + k.k, l.last))"""
+# Steps ahead by windows over whole rows, beyond the end the last one; dimensions are unpivoted last.
+_AHEAD = ", ".join(f"coalesce(lead({c}, {k}) OVER w, last_value({c}) OVER w) AS {c}{k}" for k in range(HORIZON) for c in "qpdx")
+_STEPS = " UNION ALL ".join(f"SELECT episode, t, {k} AS k, {i} AS dim, {c}{k} - {c if i < 2 else 0} AS v, {c}{k} AS raw, {c} AS own FROM ah" for k in range(HORIZON) for i, c in enumerate("qpdx"))
+CHUNKS = f"""{LI}, ah AS (SELECT *, {_AHEAD} FROM li WINDOW w AS (PARTITION BY episode ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ ch AS ({_STEPS})"""
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,7 +56,7 @@ def delta_actions(spark, sf_dir):
     return steps(chunks(spark, sf_dir).withColumn("actions", vector.delta_actions(F.col("actions"), F.col("state"), vector.bool_mask(2, -2))), "actions")
 
 
-@query("absolute_actions", f"WITH {CHUNKS} SELECT episode, t, CAST(k AS INT) AS k, CAST(dim AS INT) AS dim, round(raw + CASE WHEN dim < 2 THEN s.v ELSE 0 END, 4) AS v FROM (SELECT episode, t, k, dim, raw FROM ch) JOIN (SELECT episode AS e, t AS u, dim AS m, v FROM lo) s ON e = episode AND u = t AND m = dim")
+@query("absolute_actions", f"WITH {CHUNKS} SELECT episode, t, CAST(k AS INT) AS k, CAST(dim AS INT) AS dim, round(raw + CASE WHEN dim < 2 THEN own ELSE 0 END, 4) AS v FROM ch")
 def absolute_actions(spark, sf_dir):
     return steps(chunks(spark, sf_dir).withColumn("actions", vector.absolute_actions(F.col("actions"), F.col("state"), vector.bool_mask(2, -2))), "actions")
 
