@@ -67,6 +67,52 @@ def test_repeated_and_null_keys(spark):
     assert sorted(((r.doc_id or 0), r.n_removed) for r in suffix_dedup.digests(df).collect()) == [(0, 0), (1, 0), (1, 0), (2, len(t))]
 
 
+def test_different_texts_under_one_key(spark):
+    """Each row loses only what its own text repeats; the later of the two versions of a key sees the earlier one."""
+    t, u, v = (" ".join(f"{c}{i}" for i in range(60)) for c in "tuv")
+    df = spark.createDataFrame([(1, t), (2, f"{t} {u}"), (2, v), (3, f"{v} {u}"), (3, v)], "doc_id long, text string")
+    got = {(r.doc_id, r.n_words): r.n_removed for r in substring_dedup.digests(df).where("doc_id < 3").collect()}
+    assert got == {(1, 60): 0, (2, 120): 60, (2, 60): 0}
+    assert {r.n_removed for r in substring_dedup.digests(df).where("doc_id = 3").collect()} == {120, 60}
+    data = {(r.doc_id, r.n_bytes): r.n_removed for r in suffix_dedup.digests(df).where("doc_id < 3").collect()}
+    assert data == {(1, len(t)): 0, (2, len(t) + len(u) + 1): len(t), (2, len(v)): 0}
+
+
+@pytest.mark.parametrize("hot", [2, 5])
+def test_hot_anchors_in_two_rounds(spark, monkeypatch, hot):
+    """Anchors with more than `hot` places are dealt over several shards first."""
+    plain = repeats.removed_spans
+    monkeypatch.setattr(repeats, "removed_spans", lambda *a, **k: plain(*a, **k, hot=hot, shard_bytes=4096))
+    rng = np.random.default_rng(hot)
+    passage, base = [f"p{i}" for i in range(45)], [f"b{i}" for i in range(70)]
+    rows = []
+    for i in range(60):
+        own = [f"w{rng.integers(10**6)}" for _ in range(int(rng.integers(0, 40)))]
+        rows.append((i, " ".join(base if i % 3 == 0 else [*own, *passage[: int(rng.integers(15, 45))], *own[::-1]])))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert [tuple(r) for r in substring_dedup.digests(df).orderBy("doc_id").collect()] == list(expected_words(rows, 20))
+    assert [tuple(r) for r in suffix_dedup.digests(df).orderBy("doc_id").collect()] == list(expected_bytes(rows, 100))
+
+
+def test_words_that_collide_modulo_powers_of_two(spark):
+    word = "a"
+    for _ in range(10):
+        word += word.translate(str.maketrans("ab", "ba"))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(19))
+    df = spark.createDataFrame([(1, f"{rest} {word}"), (2, f"{rest} {other}")], "doc_id long, text string")
+    assert [r.n_removed for r in substring_dedup.digests(df).collect()] == [0, 0]
+
+
+def test_what_the_structures_decide(docs, monkeypatch):
+    """Without them only contexts with the bytes of an earlier one go, which is part of what goes with them; hashes decide nothing."""
+    for module, digests in ((suffix_dedup, suffix_dedup.digests), (substring_dedup, substring_dedup.digests)):
+        with_them = {r.doc_id: r.n_removed for r in digests(docs).collect()}
+        monkeypatch.setattr(module, "later_windows", lambda symbols, at, size: np.zeros(0, np.int64))
+        without = {r.doc_id: r.n_removed for r in digests(docs).collect()}
+        assert all(without[k] <= n for k, n in with_them.items()) and sum(without.values()) < 0.9 * sum(with_them.values())
+
+
 def test_runs_of_one_symbol(spark):
     df = spark.createDataFrame([(1, "a" * 500), (2, "b" * 99), (3, "a" * 120)], "doc_id long, text string")
     assert [tuple(r)[1:4] for r in suffix_dedup.digests(df).orderBy("doc_id").collect()] == [(500, 499, 1), (99, 0, 0), (120, 120, 1)]
@@ -112,6 +158,6 @@ def test_equal_windows_share_anchors():
     x = rng.integers(0, 256, 400).astype(np.uint8)
     y = np.concatenate([rng.integers(0, 256, 57).astype(np.uint8), x[100:300], rng.integers(0, 256, 31).astype(np.uint8)])
     both, at = np.concatenate([x, y]), np.array([0, len(x), len(x) + len(y)])
-    doc, h, _, first, last = repeats.anchors(both, at, 50, 10)
+    doc, h, first, last = repeats.anchors(both, at, 50, 10)
     of = {int(t): int(v) for v, a, b in zip(h, first, last) for t in range(a, b + 1)}
     assert all(of[100 + k] == of[400 + 57 + k] for k in range(151))

@@ -87,16 +87,16 @@ def later_windows(symbols: np.ndarray, at: np.ndarray, size: int, memory: int =
 
 
 def unit(size: int) -> repeats.Unit:
-    return repeats.Unit(repeats.as_words, size, max(1, size // 4))
+    return repeats.Unit(repeats.as_words, repeats.as_word_numbers, size, max(1, size // 4))
 
 
 def remove(docs: DataFrame, *, size: int = 20, key: str = "doc_id", column: str = "text") -> DataFrame:
     """docs with kept (the words that stay, joined by one space), n_words and n_removed."""
     new = ["kept", "n_words", "n_removed"]
-    docs = replaced(docs, new, key, column)
+    docs = replaced(docs, [*new, *repeats.OWN], key, column)
     names = docs.columns
-    known = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{column}`").alias("text"))
-    spans = repeats.removed_spans(known, unit(size), lambda symbols, at: later_windows(symbols, at, size))
+    known = repeats.identified(docs, key, column)
+    spans = repeats.removed_spans(known, key, column, unit(size), lambda symbols, at: later_windows(symbols, at, size))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, at in tx.slices(batches, column):
@@ -111,7 +111,7 @@ def remove(docs: DataFrame, *, size: int = 20, key: str = "doc_id", column: str
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(kept, pa.binary()).cast(pa.string()), pa.array(words, pa.int64()), pa.array(removed, pa.int64())], [*names, *new])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return repeats.applied(docs, spans, key, column, run, f"{fields}, kept string, n_words long, n_removed long")
+    return repeats.applied(known, spans, names, run, f"{fields}, kept string, n_words long, n_removed long")
 
 
 def cleaned(docs: DataFrame, *, size: int = 20, key: str = "doc_id", column: str = "text", length: str = "n_chars") -> DataFrame:

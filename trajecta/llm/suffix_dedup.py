@@ -50,18 +50,13 @@ def later_windows(symbols: np.ndarray, at: np.ndarray, size: int, memory: int =
 
 
 def unit(size: int) -> repeats.Unit:
-    return repeats.Unit(repeats.as_bytes, size, max(1, size // 5))
-
-
-def _spans(docs: DataFrame, size: int, key: str, column: str) -> DataFrame:
-    known = docs.select(F.col(f"`{key}`").cast("long").alias("doc"), F.col(f"`{column}`").alias("text"))
-    return repeats.removed_spans(known, unit(size), lambda symbols, at: later_windows(symbols, at, size))
+    return repeats.Unit(repeats.as_bytes, repeats.as_bytes, size, max(1, size // 5))
 
 
 def remove(docs: DataFrame, *, size: int = 100, key: str = "doc_id", column: str = "text") -> DataFrame:
     """docs with kept (binary: the bytes that stay), n_removed and n_spans."""
     new = ["kept", "n_removed", "n_spans"]
-    docs = replaced(docs, new, key, column)
+    docs = replaced(docs, [*new, *repeats.OWN], key, column)
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -74,7 +69,9 @@ def remove(docs: DataFrame, *, size: int = 100, key: str = "doc_id", column: str
             yield pa.RecordBatch.from_arrays([*rows.columns[:-1], pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], [*names, *new])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return repeats.applied(docs, _spans(docs, size, key, column), key, column, run, f"{fields}, kept binary, n_removed long, n_spans long")
+    known = repeats.identified(docs, key, column)
+    spans = repeats.removed_spans(known, key, column, unit(size), lambda symbols, at: later_windows(symbols, at, size))
+    return repeats.applied(known, spans, names, run, f"{fields}, kept binary, n_removed long, n_spans long")
 
 
 def digests(docs: DataFrame, *, size: int = 100, key: str = "doc_id", column: str = "text") -> DataFrame:
