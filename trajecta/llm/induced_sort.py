@@ -25,53 +25,78 @@ class BucketQueue:
     """Priority queue of tuples with small integer keys, first in first out within a key; spills to files beyond `memory` tuples."""
 
     def __init__(self, keys: int, memory: int, folder: str):
-        self.parts: list[list[np.ndarray]] = [[] for _ in range(keys)]
+        self.parts: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in range(keys)]
+        self.written: set[int] = set()
         self.memory, self.folder, self.held = memory, folder, 0
 
     def _file(self, key: int) -> str:
         return os.path.join(self.folder, f"{id(self)}-{key}")
 
     def push(self, key: int, at: np.ndarray, lcp: np.ndarray) -> None:
-        block = np.empty(len(at), TUPLE)
-        block["at"], block["lcp"] = at, lcp
-        self.parts[key].append(block)
+        self.parts[key].append((at, lcp))
         self.held += len(at)
         if self.held > self.memory:
             for k, blocks in enumerate(self.parts):
                 if blocks:
                     with open(self._file(k), "ab") as f:
-                        for b in blocks:
-                            b.tofile(f)
+                        for a, b in blocks:
+                            block = np.empty(len(a), TUPLE)
+                            block["at"], block["lcp"] = a, b
+                            block.tofile(f)
                     self.parts[k] = []
+                    self.written.add(k)
             self.held = 0
 
     def pop(self, key: int) -> tuple[np.ndarray, np.ndarray]:
         """All tuples of a key, in the order in which they came."""
         blocks, self.parts[key] = self.parts[key], []
-        self.held -= sum(map(len, blocks))
-        path = self._file(key)
-        if os.path.exists(path):
-            blocks = [np.fromfile(path, TUPLE), *blocks]
-            os.remove(path)
+        self.held -= sum(len(a) for a, _ in blocks)
+        if key in self.written:
+            self.written.remove(key)
+            block = np.fromfile(self._file(key), TUPLE)
+            os.remove(self._file(key))
+            blocks = [(block["at"], block["lcp"]), *blocks]
         if not blocks:
             return np.zeros(0, np.int64), np.zeros(0, np.int32)
-        block = np.concatenate(blocks) if len(blocks) > 1 else blocks[0]
-        return block["at"].copy(), block["lcp"].copy()
+        return np.concatenate([a for a, _ in blocks]), np.concatenate([b for _, b in blocks])
 
 
 def rising(text: np.ndarray) -> np.ndarray:
     """Which suffixes are smaller than the next one; the last symbol is the only smallest and counts as rising."""
-    step = np.ones(len(text), np.int8)
-    step[:-1] = np.sign(np.diff(text.astype(np.int64)))
-    places = np.flatnonzero(step)
-    following = places[np.searchsorted(places, np.arange(len(text)))]
-    return step[following] > 0
+    up = np.ones(len(text), bool)
+    up[:-1] = text[1:] > text[:-1]
+    ends = np.ones(len(text), bool)
+    ends[:-1] = text[1:] != text[:-1]
+    places = np.flatnonzero(ends)
+    return np.repeat(up[places], np.diff(places, prepend=-1))
 
 
-def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Length of the common prefix of each pair of suffixes, at most `cap`."""
+def sevens(text: np.ndarray) -> np.ndarray | None:
+    """From each place on seven symbols of nine bits in one number, 0 for those past the end; None if a symbol is PAD or greater."""
+    if int(text.max()) >= PAD:
+        return None
+    out = text.astype(np.int64) << 54
+    for d in range(1, 7):
+        out[:-d] |= text[d:].astype(np.int64) << 9 * (6 - d)
+    return out
+
+
+def common_prefix(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int, packed: np.ndarray | None = None) -> np.ndarray:
+    """Length of the common prefix of each pair of suffixes, at most `cap`. packed: `sevens` of a text that ends in its only 0, whose
+    different suffixes differ before either ends."""
     out = np.zeros(len(a), np.int32)
     live = np.arange(len(a))
+    if packed is not None:
+        for d in range(0, cap, 7):
+            apart = packed[a[live] + d] ^ packed[b[live] + d]
+            ended = apart != 0
+            rest = apart[ended]
+            out[live[ended]] = np.minimum(d + sum((rest < 1 << 9 * k).astype(np.int32) for k in range(1, 7)), cap)
+            live = live[~ended]
+            if not len(live):
+                return out
+        out[live] = cap
+        return out
     for d in range(cap):
         x, y = a[live] + d, b[live] + d
         inside = np.maximum(x, y) < len(text)
@@ -91,7 +116,7 @@ def doubled(names: np.ndarray) -> np.ndarray:
         second = np.zeros(n, np.int64)
         second[: n - k] = rank[k:] + 1
         key = rank * (n + 1) + second
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.zeros(n, np.int64)
         new[1:] = key[order[1:]] != key[order[:-1]]
         rank[order] = np.cumsum(new)
@@ -100,23 +125,22 @@ def doubled(names: np.ndarray) -> np.ndarray:
         k *= 2
 
 
-def _named(text: np.ndarray, stars: np.ndarray) -> tuple[np.ndarray, int]:
+def _named(text: np.ndarray, stars: np.ndarray, packed: np.ndarray | None) -> tuple[np.ndarray, int]:
     """Rank of each substring from one S* suffix through the next, equal ones alike. A substring that ends inside another
     one is the greater, as the other falls there; so ends are padded with the greatest symbol."""
     end = np.append(stars[1:], len(text) - 1)
-    wide = int(text.max()) >= PAD
-    take, bits, pad = (1, 62, int(text.max()) + 1) if wide else (7, 9, PAD)
+    take = 1 if packed is None else 7
+    pad = int(text.max()) + 1
     rank = np.zeros(len(stars), np.int64)
     live, offset = np.arange(len(stars)), 0
     while len(live):
-        key = np.zeros(len(live), np.int64)
-        for d in range(offset, offset + take):
-            place = stars[live] + d
-            inside = place <= end[live]
-            symbol = np.full(len(live), pad, np.int64)
-            symbol[inside] = text[place[inside]]
-            key = key << bits | symbol
-        order = np.lexsort((key, rank[live]))
+        place = stars[live] + offset
+        if packed is None:
+            key = np.where(place <= end[live], text[np.minimum(place, len(text) - 1)], pad)
+        else:
+            bits = 9 * (7 - np.clip(end[live] - place + 1, 0, 7))
+            key = packed[np.minimum(place, len(text) - 1)] >> bits << bits | (1 << bits) - 1
+        order = np.lexsort((key, rank[live])) if offset else np.argsort(key)
         r, k = rank[live][order], key[order]
         first = np.ones(len(order), bool)
         first[1:] = r[1:] != r[:-1]
@@ -148,9 +172,9 @@ def _induce(text: np.ndarray, source: np.ndarray, lcp: np.ndarray, wanted: np.nd
     back = empty
     if len(pick):
         before = source[pick] - 1
-        key = text[before].astype(np.int64)
+        key = text[before]  # numpy sorts symbols of two bytes by radix
         order = np.argsort(key, kind="stable")
-        pick, before, key = pick[order], before[order], key[order]
+        pick, before, key = pick[order], before[order], key[order].astype(np.int64)
         new = np.ones(len(key), bool)
         new[1:] = key[1:] != key[:-1]
         begin = np.flatnonzero(new)
@@ -189,8 +213,8 @@ def suffixes(text: np.ndarray, cap: int, memory: int = 1 << 22, folder: str | No
         yield from _sorted(text, cap, memory, scratch)
 
 
-def _star_order(text: np.ndarray, stars: np.ndarray, memory: int, folder: str) -> np.ndarray:
-    names, distinct = _named(text, stars)
+def _star_order(text: np.ndarray, stars: np.ndarray, packed: np.ndarray | None, memory: int, folder: str) -> np.ndarray:
+    names, distinct = _named(text, stars, packed)
     if distinct == len(stars):
         return np.argsort(names, kind="stable")
     if len(stars) <= memory:
@@ -211,9 +235,11 @@ def _sorted(text: np.ndarray, cap: int, memory: int, folder: str) -> Iterator[tu
     star[0] = False
     star[1:] &= ~up[:-1]
     stars = np.flatnonzero(star)
-    stars = stars[_star_order(text, stars, memory, folder)]
+    packed = sevens(text)
+    stars = stars[_star_order(text, stars, packed, memory, folder)]
     star_lcp = np.zeros(len(stars), np.int32)
-    star_lcp[1:] = common_prefix(text, stars[:-1], stars[1:], cap)
+    star_lcp[1:] = common_prefix(text, stars[:-1], stars[1:], cap, packed)
+    del packed
     edges = np.searchsorted(text[stars], np.arange(keys + 1))
     used = np.unique(text)
 

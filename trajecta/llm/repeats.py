@@ -33,6 +33,7 @@ from trajecta.llm.tables import drop, partitions, stored
 ANCHOR = np.dtype([("hash", np.int64), ("doc", np.int64), ("version", np.int64), ("low", np.int32), ("size", np.int32)])
 CONTEXT = np.dtype([("doc", np.int64), ("version", np.int64), ("low", np.int32)])
 PLACE = (1 << 31) - 1
+POINT = 0x5DEECE66D1CE4E5B
 NO_KEY = -(1 << 63)
 # Columns of its own, which an input may not have; `remove` replaces them.
 OWN = ("_doc", "_version", "_of", "_of_version", "_spans", "open")
@@ -41,10 +42,11 @@ OWN = ("_doc", "_version", "_of", "_of_version", "_spans", "open")
 @dataclass(frozen=True)
 class Unit:
     """How text becomes symbols: for a slice's bytes and offsets, symbols with offsets, and each symbol's first and last byte. `exact` gives
-    symbols that are equal only if their bytes are."""
+    symbols that are equal only if their bytes are, `bounds` all but the symbols."""
 
     symbols: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
     exact: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+    bounds: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray, np.ndarray]]
     size: int
     gram: int
 
@@ -54,6 +56,15 @@ def as_bytes(raw: np.ndarray, at: np.ndarray):
     return raw, at, place, place + 1
 
 
+def byte_bounds(raw: np.ndarray, at: np.ndarray):
+    return as_bytes(raw, at)[1:]
+
+
+def word_bounds(raw: np.ndarray, at: np.ndarray):
+    start, end, words_at = tx.word_bounds(raw, at)
+    return words_at, start, end
+
+
 def as_words(raw: np.ndarray, at: np.ndarray):
     """Words as 64-bit hashes."""
     start, end, words_at = tx.word_bounds(raw, at)
@@ -74,16 +85,28 @@ def identified(docs: DataFrame, key: str, column: str) -> DataFrame:
     return docs.select("*", F.coalesce(of, F.lit(NO_KEY)).alias("_doc"), F.xxhash64(F.col(f"`{column}`"), of.isNull()).alias("_version"))
 
 
+def gram_hashes(symbols: np.ndarray, gram: int) -> np.ndarray:
+    """Hash of the gram at each place, a polynomial modulo 2**64 built by doubling. It only chooses which contexts meet, so grams that collide cost
+    time and nothing else."""
+    one = symbols.astype(np.uint64) + tx.U(1)
+    h, have = one, 1
+    for bit in f"{gram:b}"[1:]:
+        h = h[:-have] * tx.U(pow(POINT, have, 1 << 64)) + h[have:]
+        have *= 2
+        if bit == "1":
+            h = h[:-1] * tx.U(POINT) + one[have:]
+            have += 1
+    return tx.mix(h)
+
+
 def anchors(symbols: np.ndarray, at: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, ...]:
     """For each anchor: its document, hash, and first and last window."""
     none = np.zeros(0, np.int64)
     count = np.maximum(np.diff(at) - size + 1, 0)
     if not count.sum():
         return none, none, none, none
-    rolling = tx.symbols(symbols) if symbols.dtype == np.uint64 else tx.Rolling(symbols)
-    place = np.arange(len(symbols) - gram + 1)
-    grams = rolling.of(place, place + gram)
-    least = (grams & ~tx.U(PLACE)) | place.astype(np.uint64)
+    grams = gram_hashes(symbols, gram)
+    least = (grams & ~tx.U(PLACE)) | np.arange(len(grams), dtype=np.uint64)
     width, have = size - gram + 1, 1
     while 2 * have <= width:
         least = np.minimum(least[: len(least) - have], least[have:])
@@ -122,7 +145,7 @@ def anchored(docs: DataFrame, unit: Unit, buckets: int) -> DataFrame:
             a = np.empty(len(doc), ANCHOR)
             a["hash"], a["doc"], a["version"] = h, keys[doc], versions[doc]
             a["low"], a["size"] = first - symbols_at[doc], last - first + unit.size
-            a = a[np.argsort(a["hash"], kind="stable")]
+            a = a[np.argsort(h)]
             new = np.append(True, a["hash"][1:] != a["hash"][:-1])[: len(a)]
             alone = new & np.append(new[1:], True)[: len(a)]
             for kind, chosen in enumerate((alone, new & ~alone, ~new)):
@@ -155,7 +178,7 @@ def contexts(docs: DataFrame, wanted: DataFrame, unit: Unit, column: str) -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, raw, at in tx.slices(batches, column):
-            _, symbols_at, start, end = unit.symbols(raw, at)
+            symbols_at, start, end = unit.bounds(raw, at)
             lists = rows.column(rows.num_columns - 1)
             row = np.repeat(np.arange(rows.num_rows), np.diff(np.asarray(lists.offsets)))
             low, high, h, shard, again = (lists.flatten().field(i).to_numpy(zero_copy_only=False) for i in range(5))

@@ -87,7 +87,7 @@ def later_windows(symbols: np.ndarray, at: np.ndarray, size: int, memory: int =
 
 
 def unit(size: int) -> repeats.Unit:
-    return repeats.Unit(repeats.as_words, repeats.as_word_numbers, size, max(1, size // 4))
+    return repeats.Unit(repeats.as_words, repeats.as_word_numbers, repeats.word_bounds, size, max(1, size // 4))
 
 
 def remove(docs: DataFrame, *, size: int = 20, key: str = "doc_id", column: str = "text") -> DataFrame:

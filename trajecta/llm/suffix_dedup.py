@@ -50,7 +50,7 @@ def later_windows(symbols: np.ndarray, at: np.ndarray, size: int, memory: int =
 
 
 def unit(size: int) -> repeats.Unit:
-    return repeats.Unit(repeats.as_bytes, repeats.as_bytes, size, max(1, size // 5))
+    return repeats.Unit(repeats.as_bytes, repeats.as_bytes, repeats.byte_bounds, size, max(1, size // 5))
 
 
 def remove(docs: DataFrame, *, size: int = 100, key: str = "doc_id", column: str = "text") -> DataFrame:
