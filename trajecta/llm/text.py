@@ -7,6 +7,7 @@ of at most n / 2**61. (Modulo 2**64 there are strings that collide at every poin
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -25,6 +26,7 @@ _POINT = 0x11C5A6F0D3B94E27
 _SYMBOL_POINT = 0x0A7D3F8C6B1E5942
 _BLOCK = 1 << 15
 _tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -59,7 +61,7 @@ def _powers(point: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """point**i and point**-i modulo 2**61 - 1 for i up to n."""
     have = _tables.get(point)
     if have is None or len(have[0]) <= n:
-        size = max(n + 1, SLICE_BYTES + 4096)
+        size = max(1 << n.bit_length(), 1 << 16)
         out = []
         for b in (point, pow(point, -1, int(PRIME))):
             a = np.ones(size, U)
@@ -118,6 +120,14 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
             end = max(row + 1, int(np.searchsorted(at, at[row] + limit, "right")) - 1)
             yield batch.slice(row, end - row), raw[at[row] : at[end]], at[row : end + 1] - at[row]
             row = end
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system, so that a Python worker that waits for its next task holds little."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
 
 
 def word_bounds(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
