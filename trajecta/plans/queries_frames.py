@@ -187,14 +187,8 @@ def batch_stacked(spark, sf_dir):
     return batched(rows, "batch_id", "position", ["event_id"]).select("batch_id", F.size("event_id").alias("size"), F.get("event_id", F.lit(0)).alias("first"))
 
 
-@query("epoch_cycle", f"WITH {PLAIN}, b AS (SELECT event_id, position // 200 AS batch_id FROM ps) SELECT CAST(r * 4 + batch_id AS BIGINT) AS step, event_id FROM b, (SELECT unnest(range(3)) AS r) WHERE batch_id < 4 AND r * 4 + batch_id < 10")
+@query("epoch_cycle", f"WITH {PLAIN}, n AS (SELECT count(*) // 200 AS n FROM events), b AS (SELECT event_id, position // 200 AS batch_id, n FROM ps, n WHERE position // 200 < n) SELECT CAST(r * n + batch_id AS BIGINT) AS step, event_id FROM b, (SELECT unnest(range(10)) AS r) WHERE r * n + batch_id < 10")
 def epoch_cycle(spark, sf_dir):
-    rows = sampling.batches(shuffled(spark, sf_dir, None), "position", 200, drop_last=False)
-    return sampling.epochs(rows, "batch_id", 4, 10).select("step", "event_id")
-
-
-@query("epoch_cycle_whole", f"WITH {PLAIN}, n AS (SELECT count(*) // 200 AS n FROM events), b AS (SELECT event_id, position // 200 AS batch_id, n FROM ps, n WHERE position // 200 < n) SELECT CAST(r * n + batch_id AS BIGINT) AS step, event_id FROM b, (SELECT unnest(range(10)) AS r) WHERE r * n + batch_id < 10")
-def epoch_cycle_whole(spark, sf_dir):
     rows = sampling.batches(shuffled(spark, sf_dir, None), "position", 200)
     return sampling.epochs(rows, "batch_id", None, 10).select("step", "event_id")
 
@@ -260,22 +254,13 @@ def chunk_window_equals_array(spark, sf_dir):
     return ahead.join(whole, "episode").select("episode", "t", (F.col("a") == sequence.chunk_array(F.col("_all"), F.col("t"), 4)).alias("same"))
 
 
-STREAMED = f"WITH {EV} SELECT episode, t, CAST(t // 5 * 5 AS INT) AS query, CAST(t % 5 AS INT) AS place, value AS action FROM ev"
-
-
-@query("streaming_chunk_replay_whole", STREAMED)
-def streaming_chunk_replay_whole(spark, sf_dir):
+@query("streaming_chunk_replay", f"WITH {EV} SELECT episode, t, CAST(t // 5 * 5 AS INT) AS query, CAST(t % 5 AS INT) AS place, value AS action FROM ev")
+def streaming_chunk_replay(spark, sf_dir):
     """The stateful form over a bounded file source, run to its end; frames and results are tables in the shared folder."""
     frames = ev_frames(spark, sf_dir).select("episode", "t", sequence.chunk(F.col("value"), "episode", "t", 5).alias("chunk"))
     return replay.run_bounded(frames, lambda steps: replay.chunk_replay(steps, 5))
 
 
-@query("streaming_chunk_replay", f"WITH {EV} SELECT episode, t, CAST(t // 5 * 5 AS INT) AS query, CAST(t % 5 AS INT) AS place, value AS action FROM ev WHERE t < 20")
-def streaming_chunk_replay(spark, sf_dir):
-    """The rows of its SQL; all steps are streamed."""
-    return streaming_chunk_replay_whole(spark, sf_dir).where("t < 20")
-
-
 @query("streaming_lifecycle", f"WITH {EV} SELECT episode, t, CAST(t + 1 AS INT) AS steps, t = 6 AS last FROM ev WHERE t <= 6")
 def streaming_lifecycle(spark, sf_dir):
     steps = ev_frames(spark, sf_dir).select("episode", "t", F.lit(False).alias("complete"))

@@ -41,13 +41,8 @@ def steps(df: DataFrame, column: str) -> DataFrame:
     return exploded(out, "_step", "episode", "t", "k", digits=4)
 
 
-@query("chunk_clamp", f"WITH {CHUNKS} SELECT episode, t, CAST(k AS INT) AS k, CAST(dim AS INT) AS dim, round(raw, 4) AS v FROM ch WHERE dim < 2")
+@query("chunk_clamp", f"WITH {CHUNKS} SELECT episode, t, CAST(k AS INT) AS k, CAST(dim AS INT) AS dim, round(raw, 4) AS v FROM ch")
 def chunk_clamp(spark, sf_dir):
-    return steps(chunks(spark, sf_dir), "actions").where("dim < 2")
-
-
-@query("chunk_clamp_whole", f"WITH {CHUNKS} SELECT episode, t, CAST(k AS INT) AS k, CAST(dim AS INT) AS dim, round(raw, 4) AS v FROM ch")
-def chunk_clamp_whole(spark, sf_dir):
     return steps(chunks(spark, sf_dir), "actions")
 
 
@@ -262,19 +257,9 @@ def decode_bins(spark, sf_dir):
     return exploded(out, "_s", "p_partkey", "k")
 
 
-@query("attn_mask_block", f"""WITH {EV}, m AS (SELECT episode, t, CASE WHEN t >= 3 THEN 1 ELSE 0 END AS ar, value >= 0 OR t < 6 AS ok FROM ev WHERE t < 8), c AS (SELECT *, sum(ar) OVER (PARTITION BY episode ORDER BY t) AS s FROM m)
+@query("attn_mask_block", f"""WITH {EV}, m AS (SELECT episode, t, CASE WHEN t >= 3 THEN 1 ELSE 0 END AS ar, value >= 0 OR t < 6 AS ok FROM ev), c AS (SELECT *, sum(ar) OVER (PARTITION BY episode ORDER BY t) AS s FROM m)
  SELECT a.episode, CAST(a.t AS INT) AS i, CAST(b.t AS INT) AS j, b.s <= a.s AND a.ok AND b.ok AS visible FROM c a JOIN c b ON a.episode = b.episode""")
 def attn_mask_block(spark, sf_dir):
-    rows = ev_frames(spark, sf_dir).where("t < 8").groupBy("episode").agg(F.array_sort(F.collect_list(F.struct("t", "value"))).alias("r"))
-    ar = F.transform("r", lambda x: (x["t"] >= 3).cast("int"))
-    ok = F.transform("r", lambda x: (x["value"] >= 0) | (x["t"] < 6))
-    out = rows.select("episode", F.posexplode(text.attention(ar, ok)).alias("i", "_m"))
-    return out.select("episode", "i", F.posexplode("_m").alias("j", "visible"))
-
-
-@query("attn_mask_whole", f"""WITH {EV}, m AS (SELECT episode, t, CASE WHEN t >= 3 THEN 1 ELSE 0 END AS ar, value >= 0 OR t < 6 AS ok FROM ev), c AS (SELECT *, sum(ar) OVER (PARTITION BY episode ORDER BY t) AS s FROM m)
- SELECT a.episode, CAST(a.t AS INT) AS i, CAST(b.t AS INT) AS j, b.s <= a.s AND a.ok AND b.ok AS visible FROM c a JOIN c b ON a.episode = b.episode""")
-def attn_mask_whole(spark, sf_dir):
     rows = ev_frames(spark, sf_dir).select("episode", "t", (F.col("t") >= 3).alias("ar"), ((F.col("value") >= 0) | (F.col("t") < 6)).alias("ok"))
     return sequence.attention(rows, "episode", "t", "ar", "ok")
 
