@@ -124,7 +124,8 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, limit: int = SLICE_BY
 
 
 def release() -> None:
-    """Give freed memory back to the system, so that a Python worker that waits for its next task holds little."""
+    """Give power tables and freed memory back to the system, so that a Python worker that waits for its next task holds little."""
+    _tables.clear()
     pa.default_memory_pool().release_unused()
     if _trim is not None:
         _trim(0)
