@@ -1,5 +1,7 @@
 """The robots' configurations against the matrix they are made from."""
 
+import json
+
 import pytest
 
 from trajecta.plans import pipeline
@@ -23,10 +25,10 @@ def test_droid_configs(name, horizon, dim, tokens, delta, tokenizer):
     c = pipeline.config(name)
     assert (c.robot, c.model.horizon, c.model.dim, c.model.tokens, c.delta, c.model.tokenizer) == ("droid", horizon, dim, tokens, delta, tokenizer)
     assert [(s.name, s.weight) for s in c.sources] == ([("droid", 0.9), ("polaris_droid_cotrain_dataset", 0.1)] if "polaris" in name else [])
-    assert all(s.ranges for s in c.sources)
+    assert all(s.filtered for s in c.sources)
 
 
-def test_a_mix_filters_each_dataset_by_its_own_ranges(spark):
+def test_a_mix_filters_each_dataset_by_its_own_ranges(spark, tmp_path):
     c = pipeline.config("flow_droid_jointpos_polaris")
     frames = spark.createDataFrame([(1, t, t) for t in range(4000)], "episode int, t int, id long")
     ranges = lambda a, b: spark.createDataFrame([(1, a, b)], "episode int, start int, end int")
@@ -37,6 +39,12 @@ def test_a_mix_filters_each_dataset_by_its_own_ranges(spark):
     assert all(t >= 2000 for t in few) and 0.08 < len(few) / 2000 < 0.145
     with pytest.raises(ValueError, match="polaris"):
         c.mixed({main: frames}, {main: ranges(0, 1)}, "id")
+    for s, r in zip(c.sources, ([[0, 2000]], [[2000, 4000]])):
+        path = tmp_path / s.name / f"{s.version}.json"
+        path.parent.mkdir()
+        path.write_text(json.dumps({"1": r}))
+    again = c.mixed({main: frames, other: frames}, f"file://{tmp_path}", "id").collect()
+    assert sorted((r["source"], r.t) for r in again) == sorted(got)
 
 
 def stats(*sizes):
@@ -69,3 +77,20 @@ def test_continuous_state_is_not_in_the_prompt(spark):
     df = spark.createDataFrame([([0.1] * 8, "Pick_up")], "state array<double>, prompt string")
     assert said(df.transform(pipeline.config("discrete_libero").training(stats(8, 7))).first()) == "Pick up"
     assert said(df.transform(pipeline.tokenized(pipeline.Model(pipeline.Family.FLOW_DISCRETE, 1, 8, 200))).first()).startswith("Task: ")
+
+
+def test_deltas_of_outputs_alone(spark):
+    """One configuration's records hold deltas already: they are made absolute on the way out, and left alone on the way in."""
+    group = pipeline.config("fast_binning_droid_jointpos").data_group()
+    df = spark.createDataFrame([([1.0] * 7, 0.5, [[0.25] * 8])], "joint_position array<double>, gripper_position double, actions array<array<double>>")
+    inside = pipeline.structure.compose(*group.inputs)(df)
+    assert inside.first().actions == [[0.25] * 8]
+    assert pipeline.structure.compose(*group.outputs)(inside).first().actions == [[1.25] * 7 + [0.25]]
+    both = pipeline.config("fast_droid_jointpos_polaris").data_group()
+    assert pipeline.structure.compose(*both.inputs)(df).first().actions == [[-0.75] * 7 + [0.25]]
+
+
+def test_unknown_cameras_are_an_error(spark):
+    df = spark.createDataFrame([([0.0] * 14, b"")], "state array<double>, cam_ceiling binary")
+    with pytest.raises(ValueError, match="cam_ceiling"):
+        pipeline.structure.compose(*pipeline.config("flow_aloha").data_group().inputs)(df)

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field, replace
 from difflib import SequenceMatcher
 from enum import Enum
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trajecta.functions import text, vector
@@ -15,6 +15,7 @@ from trajecta.functions.images import resize_with_pad, zero_image
 from trajecta.operators import lookup, sampling, structure
 from trajecta.operators.stats import NormStats
 from trajecta.operators.structure import Transform
+from trajecta.sources import datasets
 
 
 @dataclass(frozen=True)
@@ -49,12 +50,16 @@ class Model:
 
 @dataclass(frozen=True)
 class Source:
-    """A recorded dataset of a mix: its weight, and the file of its keep ranges."""
+    """A recorded dataset of a mix: its weight, and whether keep ranges filter its frames."""
 
     name: str
     version: str
     weight: float
-    ranges: str | None = None
+    filtered: bool = True
+
+    def ranges_file(self, folder: str) -> str:
+        """Where the dataset's keep ranges are below the folder that holds those of all datasets."""
+        return f"{folder.rstrip('/')}/{self.name}/{self.version}.json"
 
 
 @dataclass(frozen=True)
@@ -92,6 +97,8 @@ def robot_inputs(robot: Robot, model: Model) -> Transform:
     """state, image and image_mask by slot, actions and prompt of a robot's record."""
 
     def run(df: DataFrame) -> DataFrame:
+        if robot.joint_convention:
+            check_cameras([c for c in df.columns if c.startswith("cam_")])
         fast = model.family is Family.FAST
         slots = robot.fast_cameras if fast and robot.fast_cameras else robot.cameras
         state = F.concat(*(as_vector(df, c) for c in robot.state))
@@ -231,6 +238,7 @@ class Config:
     quantile: bool | None = None
     stored: dict | None = field(default=None, hash=False)
     sources: tuple[Source, ...] = ()
+    delta_outputs_only: bool = False
 
     @property
     def scales_by_quantile(self) -> bool:
@@ -243,7 +251,7 @@ class Config:
             group = group.push([robot_inputs(ROBOTS[self.robot], self.model)], [robot_outputs(ROBOTS[self.robot])])
         if self.delta:
             mask = vector.bool_mask(*self.delta)
-            group = group.push([deltas(mask)], [deltas(mask, absolute=True)])
+            group = group.push([] if self.delta_outputs_only else [deltas(mask)], [deltas(mask, absolute=True)])
         return group
 
     @property
@@ -265,11 +273,17 @@ class Config:
             return self.training(stats)
         return structure.compose(lambda df: structure.repack(df, self.stored), self.training(stats))
 
-    def mixed(self, frames: dict[str, DataFrame], ranges: dict[str, DataFrame], key: str, episode: str = "episode", t: str = "t", seed: int = 0) -> DataFrame:
-        """The datasets' frames within their own ranges, in proportion to the weights."""
-        if missing := [s.name for s in self.sources if s.name not in frames or s.ranges and s.name not in ranges]:
+    def read_ranges(self, spark: SparkSession, folder: str) -> dict[str, DataFrame]:
+        """episode, start and end of each filtered dataset of the mix, from its file below the folder."""
+        return {s.name: datasets.read_ranges(spark, s.ranges_file(folder)) for s in self.sources if s.filtered}
+
+    def mixed(self, frames: dict[str, DataFrame], ranges: dict[str, DataFrame] | str, key: str, episode: str = "episode", t: str = "t", seed: int = 0) -> DataFrame:
+        """The datasets' frames within their own ranges (tables by name, or the folder of their files), in proportion to the weights."""
+        if missing := [s.name for s in self.sources if s.name not in frames or s.filtered and not isinstance(ranges, str) and s.name not in ranges]:
             raise ValueError(f"no frames or ranges of {missing}")
-        return sampling.mixed({s.name: (lookup.frame_filter(frames[s.name], ranges[s.name] if s.ranges else None, episode, t), s.weight) for s in self.sources}, key, seed)
+        if isinstance(ranges, str):
+            ranges = self.read_ranges(next(iter(frames.values())).sparkSession, ranges)
+        return sampling.mixed({s.name: (lookup.frame_filter(frames[s.name], ranges[s.name] if s.filtered else None, episode, t), s.weight) for s in self.sources}, key, seed)
 
     def inference_outputs(self, stats: dict[str, NormStats]) -> Transform:
         """FAST decode, unscale, absolute, robot slice: deltas are undone at padded width."""
@@ -316,9 +330,8 @@ def _models() -> dict[str, Config]:
         "discrete_aloha_pen_uncap": "uncap the pen",
         "flow_aloha_sim": "Transfer cube",
     }
-    droid_ranges = "gs://openpi-assets/droid/{}_sample_ranges_v{}.json"
-    droid_set = Source("droid", "1.0.1", 1.0, droid_ranges.format("droid", "1_0_1"))
-    mix = (replace(droid_set, weight=0.9), Source("polaris_droid_cotrain_dataset", "1.0.0", 0.1, droid_ranges.format("polaris_droid_cotrain_dataset", "1_0_0")))
+    droid_set = Source("droid", "1.0.1", 1.0)
+    mix = (replace(droid_set, weight=0.9), Source("polaris_droid_cotrain_dataset", "1.0.0", 0.1))
 
     def stored(name: str, robot: str | None) -> dict | None:
         """Where a dataset's records have the fields; the configurations for inference alone have none, but for the two-arm robot's."""
@@ -339,7 +352,7 @@ def _models() -> dict[str, Config]:
     def sources(name: str) -> tuple[Source, ...]:
         return mix if name.endswith("_polaris") else (droid_set,) if "full_droid" in name else ()
 
-    configs = [Config(name, robot, model, delta, prompts.get(name), stored=stored(name, robot), sources=sources(name)) for name, robot, model, delta in rows]
+    configs = [Config(name, robot, model, delta, prompts.get(name), stored=stored(name, robot), sources=sources(name), delta_outputs_only=name == "fast_binning_droid_jointpos") for name, robot, model, delta in rows]
     if len({c.name for c in configs}) != len(configs):
         raise ValueError("config names must be unique")
     return {c.name: c for c in configs}
