@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import best_fit_pack, bpe, html_extract, jpeg_media, minhash_dedup, quality_rules, substring_dedup, suffix_dedup, token_store, toxicity
+from trajecta.llm import best_fit_pack, bpe, embedding_dedup, html_extract, jpeg_media, minhash_dedup, quality_rules, substring_dedup, suffix_dedup, token_store, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -59,6 +59,18 @@ def op10_best_fit_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_fit_pack.pack(table(spark, sf_dir, "documents"), BYTE_BPE, end_id=2, capacity=1024)
 
 
+def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.label(table(spark, sf_dir, "embeddings"))
+
+
+OP11_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+ WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.node WHERE r.root < l.y),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
+SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM embeddings e JOIN c ON c.node = e.vec_id LEFT JOIN n ON n.x = e.vec_id"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_minhash_dedup": op1_minhash_dedup,
@@ -71,8 +83,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_jpeg_media": op8_jpeg_media,
         "op9_substring_dedup": op9_substring_dedup,
         "op10_best_fit_pack": op10_best_fit_pack,
+        "op11_embedding_dedup": op11_embedding_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_embedding_dedup": OP11_SQL}
