@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import importlib.util
 import json
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from trajecta.operators import lookup, timed
 from trajecta.operators.stats import NormStats, from_json, to_json
 
 
@@ -42,6 +45,21 @@ def write_episodes(frames: DataFrame, root: str, fps: float, tasks: DataFrame |
         tasks.select("task_index", "task").write.mode("overwrite").json(f"{root}/meta/tasks.jsonl")
 
 
+def training_frames(spark: SparkSession, root: str, horizon: int, keys: Sequence[str] = ("actions",), tolerance: float = timed.TOLERANCE, miss: str = "error", prompt_from_task: bool = False, episode: str = "episode_index", ts: str = "timestamp") -> DataFrame:
+    """A dataset's frames with chunks of `horizon` elements in place of the action columns, at the recording's own rate; with the task's text as prompt.
+
+    Frames are found by time, so a dropped frame is not taken for the next one (see timed.time_chunks)."""
+    frames, tasks, info = read_episodes(spark, root)
+    chunked = timed.time_chunks(frames, {k: k for k in keys}, episode, ts, horizon, info["fps"], tolerance, miss)
+    return lookup.required(chunked, tasks, "task_index", "task", "prompt", "has no task") if prompt_from_task else chunked
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for a table that a job makes on its way: below spark.checkpoint.dir, which all executors share; a local folder only where that is unset."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='trajecta-')}"
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def read_stats(spark: SparkSession, folder: str) -> dict[str, NormStats]:
     return from_json(_read_text(spark, f"{folder}/norm_stats.json"))
 
