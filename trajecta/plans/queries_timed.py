@@ -1,10 +1,11 @@
-"""Queries of frames by time. A conversation is an episode whose turns are frames of 10 a second, on a clock that jitters and now and then is half a frame late."""
+"""Queries of frames by time, and of statistics in one pass. A conversation is an episode whose turns are frames of 10 a second, on a clock that jitters and
+now and then is half a frame late; embeddings are vectors that come in batches."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trajecta.operators import timed
+from trajecta.operators import adaptive, timed
 from trajecta.plans.catalog import query, table
 from trajecta.sources import datasets
 
@@ -56,3 +57,49 @@ def episode_dataset_chunks(spark, sf_dir):
     zipped = F.posexplode(F.arrays_zip("actions", "is_pad", "is_missing")).alias("k", "_x")
     read = read.select(F.col("episode_index").alias("episode"), F.col("frame_index").alias("t"), "prompt", zipped)
     return read.select("episode", "t", "k", F.col("_x.actions").alias("ahead"), "_x.is_pad", "_x.is_missing", "prompt")
+
+
+ADAPTIVE_BINS, ADAPTIVE_BATCH = 60, 100
+
+
+def _grid(low: str, high: str) -> str:
+    """Edges of equal bins, as numpy.linspace makes them."""
+    return f"list_append(list_transform(range({ADAPTIVE_BINS}), lambda i: i * (({high} - ({low})) / {ADAPTIVE_BINS}) + ({low})), {high})"
+
+
+def _place(edges: str, value: str) -> str:
+    return f"greatest(0, least({ADAPTIVE_BINS - 1}, len(list_filter({edges}, lambda e: e <= {value})) - 1))"
+
+
+def _moved(counts: str, old: str, new: str) -> str:
+    """Counts by new bin: each old bin's go where its left edge lies."""
+    to = f"list_transform(range(1, {ADAPTIVE_BINS + 1}), lambda j: {_place(new, f'{old}[j]')})"
+    return f"list_transform(range({ADAPTIVE_BINS}), lambda b: list_sum(list_transform(list_zip({to}, {counts}), lambda z: CASE WHEN z[1] = b THEN z[2] ELSE 0 END)))"
+
+
+def _level(source: str, out: str) -> str:
+    """16 neighbouring states merged in order."""
+    low, high = "least(f.low, t.low)", "greatest(f.high, t.high)"
+    return f"""{out}_r AS (SELECT *, place // 16 AS up, row_number() OVER (PARTITION BY dim, place // 16 ORDER BY place) AS k FROM {source}),
+ {out}_f AS (SELECT dim, up, k, low, high, edges, counts FROM {out}_r WHERE k = 1 UNION ALL
+  SELECT dim, up, k, low, high, grid, list_transform(list_zip({_moved('a_counts', 'a_edges', 'grid')}, {_moved('b_counts', 'b_edges', 'grid')}), lambda z: z[1] + z[2]) FROM
+  (SELECT f.dim, f.up, t.k, {low} AS low, {high} AS high, {_grid(low, high)} AS grid, f.edges AS a_edges, f.counts AS a_counts, t.edges AS b_edges, t.counts AS b_counts
+   FROM {out}_f f JOIN {out}_r t ON t.dim = f.dim AND t.up = f.up AND t.k = f.k + 1)),
+ {out} AS (SELECT dim, up AS place, low, high, edges, counts FROM {out}_f QUALIFY k = max(k) OVER (PARTITION BY dim, up))"""
+
+
+ADAPTIVE_SQL = f"""WITH RECURSIVE el AS (SELECT vec_id // {ADAPTIVE_BATCH} AS place, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+ ex AS (SELECT place, dim, min(v) AS low, max(v) AS high, list(v) AS vs FROM el GROUP BY place, dim), ed AS (SELECT *, {_grid("low - 1e-10", "high + 1e-10")} AS edges FROM ex),
+ s0 AS (SELECT place, dim, low, high, edges, list_transform(range({ADAPTIVE_BINS}), lambda b: CAST(len(list_filter(list_transform(vs, lambda v: {_place("edges", "v")}), lambda x: x = b)) AS HUGEINT)) AS counts FROM ed),
+ {_level("s0", "s1")}, {_level("s1", "s2")}, {_level("s2", "s3")},
+ tot AS (SELECT dim, count(*) AS n, avg(v) AS mean, stddev_pop(v) AS std FROM el GROUP BY dim),
+ run AS (SELECT dim, low, high, edges, unnest(range(1, {ADAPTIVE_BINS + 1})) AS b, list_sum(counts[1:unnest(range(1, {ADAPTIVE_BINS + 1}))]) AS c FROM s3)
+ SELECT CAST(run.dim AS INT) AS dim, any_value(tot.n) AS n, round(any_value(tot.mean), 6) AS mean, round(any_value(tot.std), 6) AS std, round(any_value(low), 6) AS min, round(any_value(high), 6) AS max,
+ round(min(edges[b]) FILTER (c >= 0.01 * n), 6) AS q01, round(min(edges[b]) FILTER (c >= 0.99 * n), 6) AS q99 FROM run JOIN tot ON tot.dim = run.dim GROUP BY run.dim"""
+
+
+@query("adaptive_stats", ADAPTIVE_SQL)
+def adaptive_stats(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings").select("embedding", F.floor(F.col("vec_id") / ADAPTIVE_BATCH).alias("batch"))
+    found = adaptive.statistics(rows, "embedding", datasets.scratch(spark, "histograms"), "batch", bins=ADAPTIVE_BINS)
+    return found.select("dim", "n", *(F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max", "q01", "q99")))
