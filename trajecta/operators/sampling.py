@@ -22,6 +22,12 @@ def scrambled(key: Column, seed: int = 0) -> Column:
     return (x.bitwiseXOR(F.shiftright(x, 15)) * 1_540_483_477) % MODULUS
 
 
+def scrambled_value(key: int, seed: int = 0) -> int:
+    """The same of a Python number."""
+    x = (key % 3_000_000_000 * 2_654_435_761 + seed * 40_503) % MODULUS
+    return ((x ^ x >> 15) * 1_540_483_477) % MODULUS
+
+
 def unit(key: Column, seed: int = 0) -> Column:
     """A number in [0, 1)."""
     return scrambled(key, seed) / MODULUS

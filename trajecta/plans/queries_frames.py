@@ -61,12 +61,13 @@ def frame_filter_flags(spark, sf_dir):
     return lookup.frame_flags(ev_frames(spark, sf_dir).select("episode", "t"), ranges(spark, sf_dir), "episode", "t")
 
 
-@query("chunk_replay", f"WITH {EV} SELECT a.episode, a.t, CAST(a.t // 5 * 5 AS INT) AS query, CAST(a.t % 5 AS INT) AS place, b.value AS action FROM ev a JOIN ev b ON a.episode = b.episode AND b.t = a.t")
+@query("chunk_replay", f"WITH {EV} SELECT a.episode, a.t, CAST(a.t // 5 * 5 AS INT) AS query, CAST(a.t % 5 AS INT) AS place, b.value + CAST(a.t // 5 * 5 AS INT) * 1000 AS action FROM ev a JOIN ev b ON a.episode = b.episode AND b.t = a.t")
 def chunk_replay(spark, sf_dir):
+    """A chunk's elements bear the step that it was queried at, so that one from another chunk would show."""
     frames = ev_frames(spark, sf_dir)
     query_step, place = sequence.replay(F.col("t"), 5)
     placed = frames.select("episode", "t", query_step.alias("query"), place.alias("place"))
-    chunks = frames.select(F.col("episode").alias("_e"), F.col("t").alias("_t"), sequence.chunk(F.col("value"), "episode", "t", 5).alias("_c")).where("_t % 5 = 0")
+    chunks = frames.select(F.col("episode").alias("_e"), F.col("t").alias("_t"), F.transform(sequence.chunk(F.col("value"), "episode", "t", 5), lambda v: v + F.col("t") * 1000).alias("_c")).where("_t % 5 = 0")
     return placed.join(chunks, (F.col("episode") == F.col("_e")) & (F.col("query") == F.col("_t"))).select("episode", "t", "query", "place", F.get("_c", F.col("place")).alias("action"))
 
 
@@ -246,18 +247,20 @@ def preview(spark, sf_dir):
     return table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice").orderBy(F.desc("o_totalprice"), "o_orderkey").limit(5)
 
 
-@query("chunk_window_equals_array", f"WITH {LI} SELECT episode, t, true AS same FROM li")
+@query("chunk_window_equals_array", f"WITH {LI}, ends AS (SELECT episode, max(t) AS m FROM li GROUP BY episode), k AS (SELECT unnest(range(4)) AS k) SELECT a.episode, a.t, CAST(k.k AS INT) AS k, b.p AS by_window, b.p AS by_array FROM li a JOIN ends e ON e.episode = a.episode, k, li b WHERE b.episode = a.episode AND b.t = least(a.t + k.k, e.m)")
 def chunk_window_equals_array(spark, sf_dir):
     frames = li_frames(spark, sf_dir).select("episode", "t", F.get("state", F.lit(1)).alias("v"))
     ahead = frames.withColumn("a", sequence.chunk(F.col("v"), "episode", "t", 4))
     whole = frames.groupBy("episode").agg(F.transform(F.array_sort(F.collect_list(F.struct("t", "v"))), lambda x: x["v"]).alias("_all"))
-    return ahead.join(whole, "episode").select("episode", "t", (F.col("a") == sequence.chunk_array(F.col("_all"), F.col("t"), 4)).alias("same"))
+    both = ahead.join(whole, "episode").select("episode", "t", F.posexplode(F.arrays_zip(F.col("a").alias("by_window"), sequence.chunk_array(F.col("_all"), F.col("t"), 4).alias("by_array"))).alias("k", "_x"))
+    return both.select("episode", "t", "k", "_x.by_window", "_x.by_array")
 
 
-@query("streaming_chunk_replay", f"WITH {EV} SELECT episode, t, CAST(t // 5 * 5 AS INT) AS query, CAST(t % 5 AS INT) AS place, value AS action FROM ev")
+@query("streaming_chunk_replay", f"WITH {EV} SELECT episode, t, CAST(t // 5 * 5 AS INT) AS query, CAST(t % 5 AS INT) AS place, value + CAST(t // 5 * 5 AS INT) * 1000 AS action FROM ev")
 def streaming_chunk_replay(spark, sf_dir):
     """The stateful form over a bounded file source, run to its end; frames and results are tables in the shared folder."""
-    frames = ev_frames(spark, sf_dir).select("episode", "t", sequence.chunk(F.col("value"), "episode", "t", 5).alias("chunk"))
+    chunk = F.transform(sequence.chunk(F.col("value"), "episode", "t", 5), lambda v: v + F.col("t") * 1000)
+    frames = ev_frames(spark, sf_dir).select("episode", "t", chunk.alias("chunk"))
     return replay.run_bounded(frames, lambda steps: replay.chunk_replay(steps, 5))
 
 

@@ -4,74 +4,67 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from trajecta.streaming import sessions
 
-class ChunkReplay(StatefulProcessor):
+
+class ChunkReplay(sessions.Session):
     """Emits one action for each step of an episode from its chunk in use: a new chunk is taken when there is none or `horizon` steps of it
     are spent, else the state's next element is replayed."""
 
-    def __init__(self, horizon: int):
-        self.horizon = horizon
+    fields = "chunk array<double>, step int, query int"
+    columns = ("episode", "t", "query", "place", "action")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("chunk", "chunk array<double>, step int, query int")
+    def __init__(self, horizon: int, **session):
+        super().__init__(**session)
+        self.horizon = horizon
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        chunk, step, query = self.state.get() if self.state.exists() else ([], 0, -1)
-        out = []
-        for row in pd.concat(list(rows)).sort_values("t").itertuples():
-            if query < 0 or step >= self.horizon:
-                chunk, step, query = [float(v) for v in row.chunk], 0, int(row.t)
-            out.append((key[0], int(row.t), query, step, chunk[step]))
-            step += 1
-        self.state.update((list(chunk), step, query))
-        yield pd.DataFrame(out, columns=["episode", "t", "query", "place", "action"])
+    def fresh(self) -> tuple:
+        return [], 0, -1
 
-    def close(self) -> None:
-        pass
+    def step(self, key: tuple, state: tuple, row) -> tuple[tuple, tuple]:
+        chunk, step, query = state
+        if query < 0 or step >= self.horizon:
+            chunk, step, query = [float(v) for v in row.chunk], 0, int(row.t)
+        return (list(chunk), step + 1, query), (int(row.t), query, step, chunk[step])
 
 
-def chunk_replay(steps: DataFrame, horizon: int) -> DataFrame:
-    """steps (episode, t, chunk) as a stream to (episode, t, query, place, action)."""
-    return steps.groupBy("episode").transformWithStateInPandas(ChunkReplay(horizon), "episode long, t int, query int, place int, action double", "Append", "None")
+def chunk_replay(steps: DataFrame, horizon: int, idle: float | None = None, clock: str = "event", ts: str = "ts") -> DataFrame:
+    """steps (episode, t, chunk) as a stream to (episode, t, query, place, action). With `idle` an episode's state ends after so many seconds without a
+    step, by the column ts or by the clock (see sessions)."""
+    return sessions.run(steps, "episode", ChunkReplay(horizon, idle=idle, clock=clock, ts=ts), "episode long, t int, query int, place int, action double")
 
 
-class Lifecycle(StatefulProcessor):
+class Lifecycle(sessions.Session):
     """Counts an episode's steps until it is complete or past its limit; later steps are not executed. The limit is tested before a step counts,
     so limit + 1 steps run."""
 
-    def __init__(self, limit: int):
-        self.limit = limit
+    fields = "steps int, over boolean"
+    columns = ("episode", "t", "steps", "last")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("run", "steps int, over boolean")
+    def __init__(self, limit: int, **session):
+        super().__init__(**session)
+        self.limit = limit
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        steps, over = self.state.get() if self.state.exists() else (0, False)
-        out = []
-        for row in pd.concat(list(rows)).sort_values("t").itertuples():
-            if over:
-                break
-            over = bool(row.complete) or (self.limit > 0 and steps >= self.limit)
-            steps += 1
-            out.append((key[0], int(row.t), steps, over))
-        self.state.update((steps, over))
-        yield pd.DataFrame(out, columns=["episode", "t", "steps", "last"])
+    def fresh(self) -> tuple:
+        return 0, False
 
-    def close(self) -> None:
-        pass
+    def step(self, key: tuple, state: tuple, row) -> tuple[tuple, tuple | None]:
+        steps, over = state
+        if over:
+            return state, None
+        over = bool(row.complete) or (self.limit > 0 and steps >= self.limit)
+        return (steps + 1, over), (int(row.t), steps + 1, over)
 
 
-def lifecycle(steps: DataFrame, limit: int) -> DataFrame:
-    """steps (episode, t, complete) as a stream to the executed ones (episode, t, steps, last)."""
-    return steps.groupBy("episode").transformWithStateInPandas(Lifecycle(limit), "episode long, t int, steps int, last boolean", "Append", "None")
+def lifecycle(steps: DataFrame, limit: int, idle: float | None = None, clock: str = "event", ts: str = "ts") -> DataFrame:
+    """steps (episode, t, complete) as a stream to the executed ones (episode, t, steps, last). With `idle` an episode that is silent so long ends, and a later step begins a new run."""
+    return sessions.run(steps, "episode", Lifecycle(limit, idle=idle, clock=clock, ts=ts), "episode long, t int, steps int, last boolean")
 
 
 def served(requests: DataFrame, handle: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str, max_hz: float | None = None) -> DataStreamWriter:
@@ -85,19 +78,26 @@ def windowed_counts(events: DataFrame, ts: str, key: str, size: str = "5 minutes
     return events.withWatermark(ts, late).groupBy(F.window(ts, size), key).agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_bounded(rows: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """A stateful stream over rows that are there already: they are written to the shared folder, streamed to the end, and the result is read back."""
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_bounded(rows: DataFrame, step: Callable[[DataFrame], DataFrame], parts: Sequence[Column] = ()) -> DataFrame:
+    """A stateful stream over rows that are there already: they are written to the shared folder, streamed to the end, and the result is read back.
+
+    With `parts`, conditions on the rows, the stream is stopped after the rows of each and started again from its checkpoint with those of the next."""
     spark = rows.sparkSession
     shared = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='trajecta-')}"
     base = f"{shared.rstrip('/')}/stream-{uuid.uuid4().hex}"
-    rows.write.parquet(f"{base}/in")
-    out = step(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
     provider = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    try:
-        query = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-        query.awaitTermination()
-    finally:
-        spark.conf.set(provider, before)
+    out = None
+    for part in parts or (F.lit(True),):
+        rows.where(part).write.mode("append").parquet(f"{base}/in")
+        spark.conf.set(provider, ROCKSDB)
+        try:
+            out = step(spark.readStream.schema(rows.schema).parquet(f"{base}/in"))
+            query = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+            query.awaitTermination()
+        finally:
+            spark.conf.set(provider, before)
     return spark.read.schema(out.schema).parquet(f"{base}/out")
