@@ -15,7 +15,7 @@ TURNS = "SELECT conv_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY t
 
 @query(
     "record_trajectories",
-    f"""SELECT conv_id, t, role, md5(text) AS text_md5, [turn, length(text)] AS state, CAST(CAST(length(text) AS FLOAT) / CAST(1000 AS FLOAT) AS DOUBLE) AS share FROM ({TURNS})""",
+    f"""SELECT conv_id, t, role, md5(text) AS text_md5, turn AS state_turn, length(text) AS state_length, CAST(CAST(length(text) AS FLOAT) / CAST(1000 AS FLOAT) AS DOUBLE) AS share FROM ({TURNS})""",
 )
 def record_trajectories(spark, sf_dir):
     """Conversations written as one record each, with flat features, and read back as steps."""
@@ -33,7 +33,7 @@ def record_trajectories(spark, sf_dir):
     records.write_records(flat, path)
     read = records.read_records(spark, path, "id long, `steps/role` array<string>, `steps/text` array<string>, `steps/state` array<long>, `steps/share` array<float>", mode="FAILFAST")
     out = records.steps(read, {"steps/role": 0, "steps/text": 0, "steps/state": 2, "steps/share": 0}, {"conv_id": "id"})
-    return out.select("conv_id", "t", F.col("steps/role").alias("role"), F.md5("steps/text").alias("text_md5"), F.col("steps/state").alias("state"), F.col("steps/share").cast("double").alias("share"))
+    return out.select("conv_id", "t", F.col("steps/role").alias("role"), F.md5("steps/text").alias("text_md5"), F.get("steps/state", F.lit(0)).alias("state_turn"), F.get("steps/state", F.lit(1)).alias("state_length"), F.col("steps/share").cast("double").alias("share"))
 
 
 def clips(batches):

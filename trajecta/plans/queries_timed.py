@@ -109,7 +109,7 @@ def adaptive_stats(spark, sf_dir):
 IDLE, WIDTH = 45, 3
 SEEN = f"""seen AS (SELECT conv_id AS session, turn AS t, turn * 10 + (turn + conv_id) // 3 * 40 AS s FROM conversations), gaps AS (SELECT *, CASE WHEN s - lag(s) OVER (PARTITION BY session ORDER BY s, t) >= {IDLE} THEN 1 ELSE 0 END AS g FROM seen),
  runs AS (SELECT *, sum(g) OVER (PARTITION BY session ORDER BY s, t) AS r FROM gaps), steps AS (SELECT session, t, row_number() OVER (PARTITION BY session, r ORDER BY s, t) - 1 AS step FROM runs)"""
-NOISE = ", ".join(f"round({scrambled_sql(f'{scrambled_sql("session", 5)} + step * {WIDTH} + {k}', 6)} / 4294967296e0, 6)" for k in range(WIDTH))
+NOISE = ", ".join(f"round({scrambled_sql(f'{scrambled_sql("session", 5)} + step * {WIDTH} + {k}', 6)} / 4294967296e0, 6) AS n{k}" for k in range(WIDTH))
 
 
 def seen(spark, sf_dir):
@@ -118,16 +118,20 @@ def seen(spark, sf_dir):
     return turns.withColumn("ts", F.timestamp_seconds(F.col("t") * 10 + F.floor((F.col("t") + F.col("session")) / 3) * 40 + 1_700_000_000))
 
 
-@query("session_noise", f"WITH {SEEN} SELECT session, t, step, [{NOISE}] AS noise FROM steps")
+def spread(df):
+    return df.select("session", "t", "step", *(F.round(F.get("noise", F.lit(k)), 6).alias(f"n{k}") for k in range(WIDTH)))
+
+
+@query("session_noise", f"WITH {SEEN} SELECT session, t, step, {NOISE} FROM steps")
 def session_noise(spark, sf_dir):
     """Random numbers of sessions in a table, by session and step."""
     steps = sessions.numbered(seen(spark, sf_dir), "session", IDLE)
-    return steps.select("session", "t", "step", F.transform(sessions.noise(F.col("session"), F.col("step"), WIDTH, 5), lambda x: F.round(x, 6)).alias("noise"))
+    return spread(steps.withColumn("noise", sessions.noise(F.col("session"), F.col("step"), WIDTH, 5)))
 
 
-@query("streaming_session_noise", f"WITH {SEEN} SELECT session, t, step, [{NOISE}] AS noise FROM steps")
+@query("streaming_session_noise", f"WITH {SEEN} SELECT session, t, step, {NOISE} FROM steps")
 def streaming_session_noise(spark, sf_dir):
     """The same from a stream that is stopped and started again half way: steps go on where they were."""
     numbers = lambda rows: sessions.session_noise(rows.withWatermark("ts", "365 days"), "session", WIDTH, 5, IDLE)
     out = replay.run_bounded(seen(spark, sf_dir), numbers, (F.col("t") < 4, F.col("t") >= 4))
-    return out.select("session", "t", "step", F.transform("noise", lambda x: F.round(x, 6)).alias("noise"))
+    return spread(out)
