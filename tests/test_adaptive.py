@@ -81,7 +81,7 @@ def test_near_the_true_quantiles(spark, tmp_path):
         for name, q in (("q01", 0.01), ("q99", 0.99)):
             assert abs(got[d][name] - values[int(q * 40_000)]) <= 20 * width
     read = spark.range(9).selectExpr("array(cast(id as double)) AS v")
-    assert "Exchange" not in adaptive.states(read, "v")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in adaptive.states(read, {"v": "v"})._jdf.queryExecution().executedPlan().toString()
 
 
 def test_states_of_bounded_size_and_round_trip():

@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -90,10 +90,12 @@ def _bins(edges: np.ndarray, v: np.ndarray) -> np.ndarray:
 
 
 def _matrix(column: pa.Array) -> np.ndarray | None:
-    """[row][dim] of the vectors that are not null."""
+    """[row][dim] of the vectors that are not null; of [step][dim] columns each step is a row."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.drop_null()
+    if pa.types.is_list(column.type.value_type):
+        column = column.flatten().drop_null()
     if not len(column):
         return None
     lengths = np.unique(column.value_lengths().to_numpy())
@@ -103,29 +105,44 @@ def _matrix(column: pa.Array) -> np.ndarray | None:
     return values.reshape(len(column), -1)
 
 
-def states(df: DataFrame, vector: str, batch: str | None = None, bins: int = BINS) -> DataFrame:
-    """place (long) and state (binary): one for each value of `batch`, an integer from 0, or without it one for each partition, whose Arrow batches are merged in order.
+def states(df: DataFrame, columns: Mapping[str, str], batch: str | None = None, bins: int = BINS) -> DataFrame:
+    """field, place (long) and state (binary) of vector or [step][dim] columns (field to column), all in one scan: one for each value of `batch`, an integer
+    from 0, or without it one for each partition, whose Arrow batches are merged in order.
 
     Without `batch` nothing is shuffled, and the result is as fixed as the partitions are."""
-    rows = df.select(F.col(vector).cast("array<double>").alias("v"), *([F.col(batch).cast("long").alias("place")] if batch else []))
+    deep = lambda c: df.schema[c].dataType.simpleString().startswith("array<array")
+    given = [F.col(c).cast("array<array<double>>" if deep(c) else "array<double>").alias(f"v{i}") for i, c in enumerate(columns.values())]
+    rows = df.select(*given, *([F.col(batch).cast("long").alias("place")] if batch else []))
+    fields = list(columns)
+
+    def found(held: Mapping[str, Histogram], place: int) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.binary())
+        made = [(f, place, h.to_bytes()) for f, h in held.items()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*made) if made else [[]] * 3, kinds)], ["field", "place", "state"])
+
+    def add(held: dict[str, Histogram], columns: list[pa.Array]) -> None:
+        for field, column in zip(fields, columns):
+            v = _matrix(column)
+            if v is not None:
+                new = Histogram.of(v, bins)
+                held[field] = held[field].merged(new) if field in held else new
 
     def of_group(table: pa.Table) -> pa.Table:
-        v = _matrix(table.column("v"))
-        if v is None:
-            return pa.table({"place": pa.array([], pa.int64()), "state": pa.array([], pa.binary())})
-        return pa.table({"place": pa.array([table.column("place")[0].as_py()], pa.int64()), "state": pa.array([Histogram.of(v, bins).to_bytes()], pa.binary())})
+        held: dict[str, Histogram] = {}
+        add(held, [table.column(i) for i in range(len(fields))])
+        return pa.Table.from_batches([found(held, table.column("place")[0].as_py())])
 
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = None
+        held: dict[str, Histogram] = {}
         for b in batches:
-            v = _matrix(b.column(0))
-            if v is not None:
-                new = Histogram.of(v, bins)
-                total = new if total is None else total.merged(new)
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([total.to_bytes()], pa.binary())], ["place", "state"])
+            add(held, b.columns)
+        if held:
+            yield found(held, TaskContext.get().partitionId())
+
+    return rows.groupBy("place").applyInArrow(of_group, STATE) if batch else rows.mapInArrow(of_partition, STATE)
+
 
-    return rows.groupBy("place").applyInArrow(of_group, "place long, state binary") if batch else rows.mapInArrow(of_partition, "place long, state binary")
+STATE = "field string, place long, state binary"
 
 
 def merged(found: DataFrame, levels: int, fan: int = FAN) -> DataFrame:
@@ -137,20 +154,21 @@ def merged(found: DataFrame, levels: int, fan: int = FAN) -> DataFrame:
         for i in order.tolist():
             new = Histogram.from_bytes(table.column("state")[i].as_py())
             total = new if total is None else total.merged(new)
-        return pa.table({"place": table.column("up").slice(0, 1), "state": pa.array([total.to_bytes()], pa.binary())})
+        return pa.table({"field": table.column("field").slice(0, 1), "place": table.column("up").slice(0, 1), "state": pa.array([total.to_bytes()], pa.binary())})
 
     for _ in range(levels):
-        found = found.withColumn("up", F.floor(F.col("place") / fan)).groupBy("up").applyInArrow(run, "place long, state binary")
+        found = found.withColumn("up", F.floor(F.col("place") / fan)).groupBy("field", "up").applyInArrow(run, STATE)
     return found
 
 
-def statistics(df: DataFrame, vector: str, path: str, batch: str | None = None, quantiles: Sequence[tuple[str, float]] = (("q01", 0.01), ("q99", 0.99)), bins: int = BINS, fan: int = FAN) -> DataFrame:
-    """dim, n, mean, std, min, max and the named quantiles, in one pass over df. The batches' states are stored at `path`, a new one, in the shared folder.
+def statistics(df: DataFrame, vector: str | Mapping[str, str], path: str, batch: str | None = None, quantiles: Sequence[tuple[str, float]] = (("q01", 0.01), ("q99", 0.99)), bins: int = BINS, fan: int = FAN) -> DataFrame:
+    """field (where `vector` is a map of fields to columns), dim, n, mean, std, min, max and the named quantiles, in one pass over df. The batches' states are stored at `path`, a new one, in the shared folder.
 
     Fewer than two vectors are an error; without any the table is empty."""
     spark = df.sparkSession
-    states(df, vector, batch, bins).write.parquet(path)
-    found = spark.read.schema("place long, state binary").parquet(path)
+    columns = {"": vector} if isinstance(vector, str) else vector
+    states(df, columns, batch, bins).write.parquet(path)
+    found = spark.read.schema(STATE).parquet(path)
     low, high = found.agg(F.min("place"), F.max("place")).first()
     if low is not None and low < 0:
         raise ValueError("batches are numbered from 0")
@@ -160,13 +178,14 @@ def statistics(df: DataFrame, vector: str, path: str, batch: str | None = None,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for data in b.column(1).to_pylist():
+            for field, data in zip(b.column(0).to_pylist(), b.column(2).to_pylist()):
                 h = Histogram.from_bytes(data)
                 if h.n < 2:
                     raise ValueError("statistics need two vectors at least")
                 std = np.sqrt(np.maximum(0, h.squares - h.mean**2))
-                columns = [np.arange(len(h.low), dtype=np.int32), np.full(len(h.low), h.n), h.mean, std, h.low, h.high, *(h.quantiles(q) for _, q in quantiles)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["dim", "n", "mean", "std", "min", "max", *(name for name, _ in quantiles)])
+                columns = [[field] * len(h.low), np.arange(len(h.low), dtype=np.int32), np.full(len(h.low), h.n), h.mean, std, h.low, h.high, *(h.quantiles(q) for _, q in quantiles)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["field", "dim", "n", "mean", "std", "min", "max", *(name for name, _ in quantiles)])
 
     names = ", ".join(f"{name} double" for name in ("mean", "std", "min", "max", *(name for name, _ in quantiles)))
-    return merged(found, levels, fan).mapInArrow(run, f"dim int, n long, {names}")
+    out = merged(found, levels, fan).mapInArrow(run, f"field string, dim int, n long, {names}")
+    return out.drop("field") if isinstance(vector, str) else out

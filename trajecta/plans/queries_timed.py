@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from trajecta.operators import adaptive, timed
+from trajecta.plans import pipeline, statistics
 from trajecta.plans.catalog import query, scrambled_sql, table
 from trajecta.sources import datasets
 from trajecta.streaming import replay, sessions
@@ -89,21 +90,59 @@ def _level(source: str, out: str) -> str:
  {out} AS (SELECT dim, up AS place, low, high, edges, counts FROM {out}_f QUALIFY k = max(k) OVER (PARTITION BY dim, up))"""
 
 
-ADAPTIVE_SQL = f"""WITH RECURSIVE el AS (SELECT vec_id // {ADAPTIVE_BATCH} AS place, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings),
+def adaptive_sql(elements: str, columns: str) -> str:
+    """The statistics of elements (place, dim, v) in a tree of at most 4096 batches; `columns` names the dimension."""
+    return f"""WITH RECURSIVE el AS ({elements}),
  ex AS (SELECT place, dim, min(v) AS low, max(v) AS high, list(v) AS vs FROM el GROUP BY place, dim), ed AS (SELECT *, {_grid("low - 1e-10", "high + 1e-10")} AS edges FROM ex),
  s0 AS (SELECT place, dim, low, high, edges, list_transform(range({ADAPTIVE_BINS}), lambda b: CAST(len(list_filter(list_transform(vs, lambda v: {_place("edges", "v")}), lambda x: x = b)) AS HUGEINT)) AS counts FROM ed),
  {_level("s0", "s1")}, {_level("s1", "s2")}, {_level("s2", "s3")},
  tot AS (SELECT dim, count(*) AS n, avg(v) AS mean, stddev_pop(v) AS std FROM el GROUP BY dim),
  run AS (SELECT dim, low, high, edges, unnest(range(1, {ADAPTIVE_BINS + 1})) AS b, list_sum(counts[1:unnest(range(1, {ADAPTIVE_BINS + 1}))]) AS c FROM s3)
- SELECT CAST(run.dim AS INT) AS dim, any_value(tot.n) AS n, round(any_value(tot.mean), 6) AS mean, round(any_value(tot.std), 6) AS std, round(any_value(low), 6) AS min, round(any_value(high), 6) AS max,
+ SELECT {columns}, any_value(tot.n) AS n, round(any_value(tot.mean), 6) AS mean, round(any_value(tot.std), 6) AS std, round(any_value(low), 6) AS min, round(any_value(high), 6) AS max,
  round(min(edges[b]) FILTER (c >= 0.01 * n), 6) AS q01, round(min(edges[b]) FILTER (c >= 0.99 * n), 6) AS q99 FROM run JOIN tot ON tot.dim = run.dim GROUP BY run.dim"""
 
 
+ADAPTIVE_SQL = adaptive_sql(f"SELECT vec_id // {ADAPTIVE_BATCH} AS place, unnest(range(len(embedding))) AS dim, CAST(unnest(embedding) AS DOUBLE) AS v FROM embeddings", "CAST(run.dim AS INT) AS dim")
+ROUNDED = ("mean", "std", "min", "max", "q01", "q99")
+
+
 @query("adaptive_stats", ADAPTIVE_SQL)
 def adaptive_stats(spark, sf_dir):
     rows = table(spark, sf_dir, "embeddings").select("embedding", F.floor(F.col("vec_id") / ADAPTIVE_BATCH).alias("batch"))
     found = adaptive.statistics(rows, "embedding", datasets.scratch(spark, "histograms"), "batch", bins=ADAPTIVE_BINS)
-    return found.select("dim", "n", *(F.round(c, 6).alias(c) for c in ("mean", "std", "min", "max", "q01", "q99")))
+    return found.select("dim", "n", *(F.round(c, 6).alias(c) for c in ROUNDED))
+
+
+# One configuration of each family: action dimensions, and how many of them are relative to the state.
+FAMILIES = {"flow_libero": (7, 6), "fast_droid_jointpos_polaris": (8, 7), "discrete_libero": (7, 0)}
+
+
+def _family(number: int, dims: int, deltas: int) -> str:
+    """Elements of a state of 8 and of two steps of actions; dimensions of a configuration and field are numbered together."""
+    base = number * 1000
+    return f"""SELECT vec_id // {ADAPTIVE_BATCH} AS place, {base} + d AS dim, CAST(embedding[d + 1] AS DOUBLE) AS v FROM embeddings, (SELECT unnest(range(8)) AS d)
+ UNION ALL SELECT vec_id // {ADAPTIVE_BATCH}, {base + 100} + d, CAST(embedding[9 + s * {dims} + d] AS DOUBLE) - CASE WHEN d < {deltas} THEN CAST(embedding[d + 1] AS DOUBLE) ELSE 0e0 END FROM embeddings, (SELECT unnest(range({dims})) AS d), (SELECT unnest(range(2)) AS s)"""
+
+
+CONFIG_SQL = adaptive_sql(
+    " UNION ALL ".join(_family(i, *f) for i, f in enumerate(FAMILIES.values())),
+    f"{list(FAMILIES)}[run.dim // 1000 + 1] AS config, CASE WHEN run.dim % 1000 < 100 THEN 'state' ELSE 'actions' END AS field, CAST(run.dim % 100 AS INT) AS dim",
+)
+
+
+@query("config_statistics", CONFIG_SQL)
+def config_statistics(spark, sf_dir):
+    """What scales state and actions of one configuration of each family: embeddings stand in for records, their first elements for the state."""
+    rows, out = table(spark, sf_dir, "embeddings").withColumn("place", F.floor(F.col("vec_id") / ADAPTIVE_BATCH)), None
+    for name, (dims, _) in FAMILIES.items():
+        joints = F.slice("embedding", 1, 7).cast("array<double>")
+        state = [joints.alias("joint_position"), F.get("embedding", F.lit(7)).cast("double").alias("gripper_position")] if "droid" in name else [F.slice("embedding", 1, 8).cast("array<double>").alias("state")]
+        actions = F.array(*(F.slice("embedding", 9 + s * dims, dims).cast("array<double>") for s in range(2)))
+        records = rows.select("place", *state, actions.alias("actions"))
+        found = statistics.config_statistics(pipeline.config(name), records, datasets.scratch(spark, "histograms"), batch="place", bins=ADAPTIVE_BINS)
+        found = found.select(F.lit(name).alias("config"), "field", "dim", "n", *(F.round(c, 6).alias(c) for c in ROUNDED))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 IDLE, WIDTH = 45, 3
