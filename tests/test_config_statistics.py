@@ -2,6 +2,7 @@
 
 import numpy as np
 
+from trajecta.operators import adaptive, structure
 from trajecta.plans import pipeline, statistics
 
 
@@ -27,8 +28,13 @@ def test_statistics_scale_the_configuration(spark, tmp_path):
 
 def test_stored_records_without_images_being_read(spark, tmp_path):
     """The repack map names images; nothing but state and actions reaches the scan of a table."""
-    rows = [("img", "wrist", [float(i)] * 8, [[float(i)] * 7], "go") for i in range(4)]
-    spark.createDataFrame(rows, "image string, wrist_image string, state array<double>, actions array<array<double>>, prompt string").write.parquet(f"{tmp_path}/set")
+    image = (b"\x07" * 12, 2, 2, 3)
+    rows = [(image, image, [float(i)] * 8, [[float(i)] * 7], "go") for i in range(4)]
+    kind = "struct<data:binary,h:int,w:int,c:int>"
+    spark.createDataFrame(rows, f"image {kind}, wrist_image {kind}, state array<double>, actions array<array<double>>, prompt string").write.parquet(f"{tmp_path}/set")
     frames = spark.read.parquet(f"{tmp_path}/set")
     found = statistics.config_statistics(pipeline.config("discrete_libero"), frames, f"file://{tmp_path}/st", stored=True)
     assert {(r.field, r.dim): r.max for r in found.collect()}["state", 7] == 3.0
+    ready = frames.transform(lambda df: structure.compose(*pipeline.config("discrete_libero").data_group().inputs)(df))
+    plan = adaptive.states(ready, {"state": "state", "actions": "actions"})._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<state:array<double>,actions:array<array<double>>>" in plan
