@@ -43,7 +43,12 @@ MARKED = frozenset("ad ads advert adverts advertisement adsbygoogle sponsor spon
 INLINE = frozenset("abbr b bdi bdo big cite code data del dfn em font i img ins kbd mark q s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+RAW = re.compile(r"<(script|style)\b", re.I)
+RAW_END = {name: re.compile(rf"</{name}\s*+>", re.I) for name in ("script", "style")}
+NAME = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)")
+# Between a tag's name and its end: spaces, attribute names, and values; a quote opens a value only after the equals sign. Nothing is ever given back.
+INSIDE = re.compile(r"(?:[\s/]++|(?:=(?!\s*+[\"']))?+[^\s/>=]++(?:\s*+=\s*+(?![\"'])[^\s>]*+)?+|=++(?!\s*+[\"']))*+")
+OPENED = re.compile(r"\s*+=\s*+([\"'])")
 ATTRIBUTE = re.compile(r"([^\s=\"'/]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 PART = re.compile(r"[A-Za-z]+")
 
@@ -58,6 +63,64 @@ class Token:
     block: bool = False
 
 
+@dataclass(frozen=True)
+class Tag:
+    """A tag from start to end; name is empty for comments, declarations and whole script and style elements."""
+
+    start: int
+    end: int
+    close: bool = False
+    name: str = ""
+    attributes: str = ""
+
+
+def _tag_end(page: str, at: int) -> int:
+    """Where the tag ends whose name ends at `at`, or -1. An unclosed quote ends the tag at the next sign for it."""
+    while True:
+        at = INSIDE.match(page, at).end()
+        if page.startswith(">", at):
+            return at + 1
+        quote = OPENED.match(page, at)
+        if quote is None:
+            # An equals sign without a name, before a quote or at the end.
+            if at >= len(page):
+                return -1
+            at += 1
+            continue
+        end = page.find(quote[1], quote.end())
+        if end < 0:
+            return page.find(">", quote.end()) + 1 or -1
+        at = end + 1
+
+
+def tags(page: str) -> list[Tag]:
+    """All tags, in time linear in the page: what is looked at for a tag is part of it, and without a closing sign further on nothing is a tag."""
+    out: list[Tag] = []
+    at, last = page.find("<"), page.rfind(">")
+    while at >= 0:
+        end = -1
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            out.append(Tag(at, end := len(page) if end < 0 else end + 3))
+        elif page.startswith("<![CDATA[", at):
+            end = page.find("]]>", at + 9)
+            out.append(Tag(at, end := len(page) if end < 0 else end + 3))
+        elif at < last:
+            if page.startswith(("<!", "<?"), at):
+                out.append(Tag(at, end := page.index(">", at) + 1))
+            elif raw := RAW.match(page, at):
+                close = RAW_END[raw[1].lower()].search(page, page.index(">", at) + 1)
+                out.append(Tag(at, end := close.end() if close else len(page)))
+            elif m := NAME.match(page, at):
+                end = _tag_end(page, m.end())
+                if end > 0:
+                    out.append(Tag(at, end, bool(m[1]), m[2].lower(), page[m.end() : end - 1]))
+                else:
+                    last = at  # nothing after it is a whole tag
+        at = page.find("<", end if end > 0 else at + 1)
+    return out
+
+
 def _marked(name: str, attributes: str) -> bool:
     kinds = ("class", "role") if name in HEADINGS else ("class", "id", "role")
     words = (PART.findall(x.lower()) for key, *value in ATTRIBUTE.findall(attributes) if key.lower() in kinds for x in "".join(value).split())
@@ -72,21 +135,21 @@ def _within(places: list[int], first: int, last: int) -> int | None:
 
 def tokens(page: str) -> list[Token]:
     """The page's tokens; what lies in a passed element is one token."""
-    found = list(TOKEN.finditer(page))
-    names = [m[3].lower() if m[3] else "" for m in found]
+    found = tags(page)
+    names = [m.name for m in found]
     # The tag that closes each element, by a stack for each name.
     closes: dict[int, int] = {}
     stacks: dict[str, list[int]] = {}
     for i, (m, name) in enumerate(zip(found, names)):
         if name and name not in VOID:
             stack = stacks.setdefault(name, [])
-            if not m[2]:
+            if not m.close:
                 stack.append(i)
             elif stack:
                 closes[stack.pop()] = i
     articles = [i for i, name in enumerate(names) if name in ("article", "main")]
-    headings = [i for i, name in enumerate(names) if name in HEADINGS and not found[i][2]]
-    paragraphs = [i for i, name in enumerate(names) if name == "p" and not found[i][2]]
+    headings = [i for i, name in enumerate(names) if name in HEADINGS and not found[i].close]
+    paragraphs = [i for i, name in enumerate(names) if name == "p" and not found[i].close]
 
     def passes(i: int, name: str, attributes: str) -> bool:
         if name in UNSEEN:
@@ -103,19 +166,19 @@ def tokens(page: str) -> list[Token]:
     at, i, links, inside = 0, 0, 0, 0
     while i < len(found):
         m, name = found[i], names[i]
-        if text := page[at : m.start()]:
+        if text := page[at : m.start]:
             _words(out, text, links)
-        at = m.end()
+        at = m.end
         if name:
             if name in ("article", "main"):
-                inside += -1 if m[2] else 1
-            if not m[2] and i in closes and passes(i, name, m[4]):
+                inside += -1 if m.close else 1
+            if not m.close and i in closes and passes(i, name, m.attributes):
                 out.append(Token("inner" if inside > 0 else "pass", 1, block=True))
                 i = closes[i]
-                at = found[i].end()
+                at = found[i].end
             else:
                 if name == "a":
-                    links = 0 if m[2] else 1
+                    links = 0 if m.close else 1
                 kind = "inline" if name in INLINE else "heading" if name in HEADINGS else name
                 out.append(Token(kind, 1, block=name in BLOCKS))
         i += 1
