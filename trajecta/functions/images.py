@@ -5,7 +5,7 @@ Kernels come after all filters. A null image gives null; a size that does not fi
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
@@ -22,8 +22,8 @@ def padded_geometry(h: Column, w: Column, height: int, width: int) -> dict[str,
     return {"rh": rh, "rw": rw, "top": F.greatest(F.lit(0), F.floor((F.lit(height) - rh) / 2)).cast("int"), "left": F.greatest(F.lit(0), F.floor((F.lit(width) - rw) / 2)).cast("int")}
 
 
-def resized(x: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Bilinear with a support that widens when shrinking, rounded half up."""
+def scaled(x: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Bilinear with a support that widens when shrinking, in doubles."""
 
     def taps(n: int, m: int) -> np.ndarray:
         scale = n / m
@@ -33,7 +33,12 @@ def resized(x: np.ndarray, height: int, width: int) -> np.ndarray:
         return weight / weight.sum(axis=1, keepdims=True)
 
     rows = np.einsum("ij,jkc->ikc", taps(x.shape[0], height), x.astype(np.float64))
-    return np.clip(np.floor(np.einsum("ij,kjc->kic", taps(x.shape[1], width), rows) + 0.5), 0, 255).astype(np.uint8)
+    return np.einsum("ij,kjc->kic", taps(x.shape[1], width), rows)
+
+
+def resized(x: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The same in bytes, rounded half up."""
+    return np.clip(np.floor(scaled(x, height, width) + 0.5), 0, 255).astype(np.uint8)
 
 
 def bicubic(x: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -76,6 +81,23 @@ def with_pad(x: np.ndarray, height: int, width: int) -> np.ndarray:
     return out
 
 
+def with_pad_even(x: np.ndarray, height: int, width: int) -> np.ndarray:
+    """The training side's convention: bytes are rounded half to even and padded with 0; 32-bit floats are cut to [-1, 1] and padded with -1; an odd
+    pixel of padding is at the end. Always scaled, also to the size it has."""
+    if x.dtype not in (np.uint8, np.float32):
+        raise ValueError(f"an image of bytes or 32-bit floats, not of {x.dtype}")
+    h, w, c = x.shape
+    ratio = max(w / width, h / height)
+    rh, rw = int(h / ratio), int(w / ratio)
+    whole = x.dtype == np.uint8
+    out = np.full((height, width, c), 0 if whole else -1, x.dtype)
+    if rh and rw:
+        v = scaled(x, rh, rw)
+        top, left = (height - rh) // 2, (width - rw) // 2
+        out[top : top + rh, left : left + rw] = np.clip(np.rint(v), 0, 255) if whole else np.clip(v, -1, 1)
+    return out
+
+
 def augmented(x: np.ndarray, seed: int, wrist: bool = False) -> np.ndarray:
     """Seeded crop to 95 % and rotation within 5 degrees (not for wrist cameras), then brightness, contrast and saturation."""
     rng = np.random.default_rng(seed)
@@ -110,6 +132,11 @@ def channels_last(x: np.ndarray) -> np.ndarray:
     return x.transpose(1, 2, 0) if x.ndim == 3 and x.shape[0] == 3 else x
 
 
+def channels_first(x: np.ndarray) -> np.ndarray:
+    """[h, w, c] to [c, h, w]."""
+    return x.transpose(2, 0, 1)
+
+
 def flipped(x: np.ndarray) -> np.ndarray:
     """Turned by 180 degrees."""
     return x[::-1, ::-1]
@@ -141,6 +168,23 @@ def resize_with_pad(image: Column, height: int, width: int) -> Column:
     return kernel(lambda x: with_pad(x, height, width))(image)
 
 
+def resize_with_pad_even(image: Column, height: int, width: int) -> Column:
+    return kernel(lambda x: with_pad_even(x, height, width))(image)
+
+
+def picked(images: Column, camera: str, side: str = "left") -> Column:
+    """The picture of the first camera, in order of names, whose name contains the id and the side, with red first and without alpha; null if there is none."""
+    fits = F.map_filter(images, lambda k, _: F.contains(k, F.lit(camera)) & F.contains(k, F.lit(side)))
+    return kernel(swapped)(F.try_element_at(fits, F.array_min(F.map_keys(fits))))
+
+
+def observed(images: Column, cameras: Sequence[str], height: int = 224, width: int = 224) -> Column:
+    """A map of pictures as a policy is sent them: without depth cameras, scaled and padded, channels first (h, w and c are the new shape). Cameras that a record lacks stay absent."""
+    shaped = kernel(lambda x: channels_first(with_pad(x, height, width)))
+    made = F.create_map(*(x for c in cameras if "_depth" not in c for x in (F.lit(c), shaped(F.try_element_at(images, F.lit(c))))))
+    return F.map_filter(made, lambda _, v: v["data"].isNotNull())
+
+
 def recorded(image: Column, height: int = 180, width: int = 320) -> Column:
     """A camera's blue, green, red picture as a dataset stores it: red first, bicubic to its size."""
     return kernel(lambda x: bicubic(swapped(x), height, width))(image)

@@ -109,6 +109,17 @@ def step_subset(df: DataFrame, episode: str, key: str, n: int, seed: int = 0) ->
     return df.withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
 
 
+def trajectory_sample(df: DataFrame, episode: str, step: str, n: int, moving: str | None = None, share: float = 1.5, seed: int = 0) -> DataFrame:
+    """At most n steps of each episode, drawn by hash without replacement: n of its steps, or, where those that do not move are dropped, n * share of them, of which
+    the moving ones stay, and n of these at most. In a table the steps keep their order by `step`; Spark cuts each task's part of an episode to the draw before it shuffles."""
+    order = [scrambled(scrambled(F.col(episode), seed) + F.col(step), seed + 1), F.col(step)]
+    drawn = df.withColumn("_rank", F.row_number().over(Window.partitionBy(episode).orderBy(*order))).where(F.col("_rank") <= (int(n * share) if moving else n))
+    if moving is None:
+        return drawn.drop("_rank")
+    kept = drawn.where(F.coalesce(F.col(moving), F.lit(True)))
+    return kept.withColumn("_rank", F.row_number().over(Window.partitionBy(episode).orderBy("_rank"))).where(F.col("_rank") <= n).drop("_rank")
+
+
 def truncated(df: DataFrame, position: str, max_rows: int, batch: int) -> DataFrame:
     """The first max_rows // batch whole batches in order of position."""
     return df.where(F.col(position) < max_rows // batch * batch)

@@ -75,6 +75,17 @@ def waiting(t: Column, no_op: int = 10, every: int = 5) -> tuple[Column, Column]
     return t < no_op, (t >= no_op) & ((t - no_op) % every == 0)
 
 
+# The greatest number of steps by task suite.
+SUITE_STEPS = {"libero_spatial": 220, "libero_object": 280, "libero_goal": 300, "libero_10": 520, "libero_90": 400}
+
+
+def suite_limit(suite: Column, no_op: int = 10) -> Column:
+    """The number of steps that a run of a suite may take, the first no-ops included; an unknown suite is an error."""
+    steps = F.create_map(*(F.lit(x) for pair in SUITE_STEPS.items() for x in pair))
+    error = F.raise_error(F.concat(F.lit("unknown task suite "), F.coalesce(suite, F.lit("null"))))
+    return F.coalesce(F.try_element_at(steps, F.coalesce(suite, F.lit(""))), error.cast("int")) + no_op
+
+
 def previous(value: Column, episode: str, order: str) -> Column:
     return F.lag(value).over(by(episode, order))
 

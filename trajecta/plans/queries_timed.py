@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from trajecta.operators import adaptive, timed
+from trajecta.operators import adaptive, sampling, sequence, timed
 from trajecta.plans import pipeline, statistics
 from trajecta.plans.catalog import query, scrambled_sql, table
 from trajecta.sources import datasets
@@ -174,3 +174,23 @@ def streaming_session_noise(spark, sf_dir):
     numbers = lambda rows: sessions.session_noise(rows.withWatermark("ts", "365 days"), "session", WIDTH, 5, IDLE)
     out = replay.run_bounded(seen(spark, sf_dir), numbers, (F.col("t") < 4, F.col("t") >= 4))
     return spread(out)
+
+
+RANK = f"row_number() OVER (PARTITION BY conv_id ORDER BY {scrambled_sql(scrambled_sql('conv_id', 3) + ' + turn', 4)}, turn)"
+
+
+@query("trajectory_sample", f"WITH d AS (SELECT conv_id, turn, length(text) % 4 <> 0 AS moves, {RANK} AS r FROM conversations), k AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY r) AS q FROM d WHERE r <= 4 AND moves) SELECT conv_id, turn FROM k WHERE q <= 3")
+def trajectory_sample(spark, sf_dir):
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.length("text") % 4 != 0).alias("moves"))
+    return sampling.trajectory_sample(turns, "conv_id", "turn", 3, "moves", seed=3).select("conv_id", "turn")
+
+
+SUITES = list(sequence.SUITE_STEPS)
+
+
+@query("suite_steps", f"WITH s AS (SELECT conv_id, turn, {SUITES}[conv_id % 5 + 1] AS suite FROM conversations), c AS (SELECT *, CASE suite WHEN 'libero_spatial' THEN 220 WHEN 'libero_object' THEN 280 WHEN 'libero_goal' THEN 300 WHEN 'libero_10' THEN 520 ELSE 400 END + 10 AS cap FROM s) SELECT conv_id, turn, suite, CAST(cap - turn AS BIGINT) AS left_over, turn >= 10 AND (turn - 10) % 5 = 0 AS plans FROM c WHERE turn < cap")
+def suite_steps(spark, sf_dir):
+    """Steps that a run executes under its suite's limit, how many are left, and those that plan anew."""
+    suite = F.get(F.array(*map(F.lit, SUITES)), (F.col("conv_id") % 5).cast("int"))
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", suite.alias("suite")).withColumn("cap", sequence.suite_limit(F.col("suite")))
+    return turns.where("turn < cap").select("conv_id", "turn", "suite", (F.col("cap") - F.col("turn")).cast("long").alias("left_over"), sequence.waiting(F.col("turn"))[1].alias("plans"))

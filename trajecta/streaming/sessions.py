@@ -51,9 +51,10 @@ class Session(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         state, last = None, None
-        if self.state.exists():
-            *state, last = self.state.get()
-        out = []
+        held = self.state.get()
+        if held is not None:
+            *state, last = held
+        before, out = last, []
         for row in pd.concat(list(rows)).sort_values([self.ts, self.order] if self.timed else self.order).itertuples():
             now = getattr(row, self.ts).value // 1_000_000 if self.timed else None
             if state is None or self.timed and last is not None and now - last >= self.idle_ms:
@@ -64,8 +65,9 @@ class Session(StatefulProcessor):
                 out.append((key[0], *result))
         self.state.update((*state, last))
         if self.timed:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
+            # Each call goes to the state store: the old timer is known from the state.
+            if before is not None:
+                self.handle.deleteTimer(before + self.idle_ms)
             self.handle.registerTimer(last + self.idle_ms)
         yield pd.DataFrame(out, columns=self.columns)
 
