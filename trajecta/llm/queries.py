@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from trajecta.llm import best_fit_pack, bpe, conversation_repair, embedding_dedup, fill_in_middle, html_extract, jpeg_media, minhash_dedup, quality_rules, substring_dedup, suffix_dedup, token_store, toxicity
+from trajecta.llm import best_fit_pack, bpe, conversation_repair, embedding_dedup, fill_in_middle, html_extract, jpeg_media, minhash_dedup, oracles, quality_rules, substring_dedup, suffix_dedup, token_store, toxicity
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -63,28 +63,10 @@ def op11_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.label(table(spark, sf_dir, "embeddings"))
 
 
-OP11_SQL = """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
- WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.93),
-r AS (SELECT vec_id AS node, vec_id AS root FROM embeddings UNION SELECT l.y, r.root FROM r JOIN l ON l.x = r.node WHERE r.root < l.y),
-c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node), n AS (SELECT x, count(*) AS n FROM l GROUP BY x)
-SELECT e.vec_id, coalesce(n.n, 0) AS n_links, c.component_id, e.vec_id = c.component_id AS kept FROM embeddings e JOIN c ON c.node = e.vec_id LEFT JOIN n ON n.x = e.vec_id"""
-
-
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fill_in_middle.digests(table(spark, sf_dir, "documents"))
 
 
-OP12_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
-u AS (SELECT doc_id, t, regexp_extract_all(t, '[A-Za-z]+|[^A-Za-z]') AS l, list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS g FROM d),
-c AS (SELECT doc_id, t, l, len(l) AS n, least(g[1] % (len(l) + 1), g[2] % (len(l) + 1)) AS a, greatest(g[1] % (len(l) + 1), g[2] % (len(l) + 1)) AS b,
- CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR g[3] % 100 >= 90 THEN 'plain' WHEN g[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM u),
-p AS (SELECT doc_id, t, n, form, coalesce(array_to_string(l[1:a], ''), '') AS x, coalesce(array_to_string(l[a + 1:b], ''), '') AS y, coalesce(array_to_string(l[b + 1:n], ''), '') AS z FROM c)
-SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(x) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(y) END AS middle_chars,
- sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || x || '<S>' || z || '<M>' || y ELSE '<S>' || z || '<P>' || x || '<M>' || y END) AS output_sha256,
- sha256(t) AS restored_sha256 FROM p"""
-
-
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.report(conversation_repair.damaged(table(spark, sf_dir, "conversations")))
 
@@ -108,4 +90,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_embedding_dedup": OP11_SQL, "op12_fill_in_middle": OP12_SQL}
+    return {
+        "op1_minhash_dedup": oracles.OP1,
+        "op3_suffix_dedup": oracles.OP3,
+        "op9_substring_dedup": oracles.OP9,
+        "op11_embedding_dedup": oracles.OP11,
+        "op12_fill_in_middle": oracles.OP12,
+        "op13_conversation_repair": oracles.OP13,
+    }
