@@ -67,9 +67,9 @@ def exploded(df: DataFrame, vector: str, *keys: str, digits: int = 6) -> DataFra
 
 
 def queries() -> dict[str, Query]:
-    from trajecta.plans import queries_frames, queries_models, queries_rows, queries_serving, queries_sources, queries_timed, queries_vectors
+    from trajecta.plans import queries_configs, queries_frames, queries_models, queries_rows, queries_serving, queries_sources, queries_timed, queries_vectors
 
-    del queries_frames, queries_models, queries_rows, queries_serving, queries_sources, queries_timed, queries_vectors
+    del queries_configs, queries_frames, queries_models, queries_rows, queries_serving, queries_sources, queries_timed, queries_vectors
     return dict(_QUERIES)
 
 
