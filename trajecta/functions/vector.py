@@ -246,6 +246,14 @@ def sincos_embedding(v: Column, size: int, shortest: float, longest: float) -> C
     return F.array(*(f(v * F.lit(2 * math.pi / p)) for f in (F.sin, F.cos) for p in periods))
 
 
+def sincos_embedding_2d(y: Column, x: Column, size: int, longest: float = 10_000.0) -> Column:
+    """Sines and cosines of x, then of y, at size / 4 geometric periods from 1 to `longest`; size is a multiple of 4, 8 at least."""
+    if size % 4 or size < 8:
+        raise ValueError("the size is a multiple of 4, and 8 at least")
+    rates = [longest ** -(i / (size // 4 - 1)) for i in range(size // 4)]
+    return F.array(*(f(v * F.lit(r)) for v in (x, y) for f in (F.sin, F.cos) for r in rates))
+
+
 def flow_mix(actions: Column, noise: Column, t: Column) -> tuple[Column, Column]:
     """Point t of the way from actions to noise, and the direction noise - actions."""
     return F.zip_with(actions, noise, lambda a, n: t * n + (1.0 - t) * a), F.zip_with(actions, noise, lambda a, n: n - a)

@@ -55,9 +55,9 @@ def restructured(steps: DataFrame, ranges: DataFrame | None = None, joint_positi
     return made.withColumn("passes_filter", F.lit(True)) if ranges is None else frame_flags(made, ranges, "episode", "t")
 
 
-def ranges_of_map(filters: Column) -> Column:
-    """map<string, array<array<int>>> exploded is done by the caller; this turns one list into structs."""
-    return F.transform(filters, lambda r: F.struct(F.get(r, 0).alias("start"), F.get(r, 1).alias("end")))
+def passing(frames: DataFrame, flag: str = "passes_filter") -> DataFrame:
+    """The frames whose flag is true, without the flag; a null flag does not pass."""
+    return frames.where(F.col(flag)).drop(flag)
 
 
 def unfinished(df: DataFrame, done: DataFrame, key: str) -> DataFrame:

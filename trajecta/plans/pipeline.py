@@ -200,6 +200,20 @@ def resized(slots: Sequence[str] = SLOTS, height: int = 224, width: int = 224) -
     return run
 
 
+def observed(slots: Sequence[str] = SLOTS) -> Transform:
+    """What a model wants of a record: an image for each slot (without one the record is an error), and a mask for each, true where none is given. Other slots go."""
+
+    def run(df: DataFrame) -> DataFrame:
+        missing = F.filter(F.array(*map(F.lit, slots)), lambda s: ~F.coalesce(F.map_contains_key("image", s), F.lit(False)))
+        error = F.raise_error(F.concat(F.lit("images are missing: "), F.array_join(missing, ", ")))
+        given = F.col("image_mask") if "image_mask" in df.columns else F.lit(None).cast("map<string,boolean>")
+        mask = F.create_map(*(x for s in slots for x in (F.lit(s), F.coalesce(F.try_element_at(given, F.lit(s)), F.lit(True)))))
+        images = F.when(F.size(missing) == 0, F.map_filter("image", lambda k, _: k.isin(*slots))).otherwise(error.cast(df.schema["image"].dataType))
+        return df.withColumns({"image": images, "image_mask": mask})
+
+    return run
+
+
 def decoded(model: Model, encode=text.characters) -> Transform:
     """Tokens that a FAST model gave as actions to [horizon][dim] values; zeros where they are not whole. Other tables are unchanged.
 

@@ -17,13 +17,8 @@ def part(start, n):
     return F.slice("embedding", start, n).cast("array<double>")
 
 
-@query(
-    "restructured_steps",
-    """SELECT 'rec' || label || '--' || vec_id AS episode, CAST(vec_id % 4 AS INT) AS t, 'rec' || label || '--' || vec_id || '--' || vec_id % 4 AS step_id, vec_id % 4 < 1 + label % 3 AS passes_filter,
- CAST(d AS INT) AS dim, round(CAST(embedding[d + 1] AS DOUBLE), 6) AS v FROM embeddings, (SELECT unnest(range(8)) AS d)""",
-)
-def restructured_steps(spark, sf_dir):
-    """Recorded steps as actions with the gripper last, ids of episode and step, and whether a keep range holds the step."""
+def recorded(spark, sf_dir):
+    """Steps with their actions, ids and whether a keep range holds them."""
     rows = table(spark, sf_dir, "embeddings")
     camera = F.lit(None).cast("binary")
     steps = rows.select(
@@ -35,10 +30,50 @@ def restructured_steps(spark, sf_dir):
         *(F.lit("go").alias(f"language_instruction{s}") for s in ("", "_2", "_3")),
     )
     ranges = rows.select(F.concat(F.lit("rec"), F.col("label").cast("string"), F.lit("--"), F.col("vec_id").cast("string")).alias("episode"), F.lit(0).alias("start"), (F.col("label") % 3 + 1).alias("end"))
-    made = lookup.restructured(steps, ranges)
+    return lookup.restructured(steps, ranges)
+
+
+@query(
+    "restructured_steps",
+    """SELECT 'rec' || label || '--' || vec_id AS episode, CAST(vec_id % 4 AS INT) AS t, 'rec' || label || '--' || vec_id || '--' || vec_id % 4 AS step_id, vec_id % 4 < 1 + label % 3 AS passes_filter,
+ CAST(d AS INT) AS dim, round(CAST(embedding[d + 1] AS DOUBLE), 6) AS v FROM embeddings, (SELECT unnest(range(8)) AS d)""",
+)
+def restructured_steps(spark, sf_dir):
+    """Recorded steps as actions with the gripper last, ids of episode and step, and whether a keep range holds the step."""
+    made = recorded(spark, sf_dir)
     return made.select("episode", "t", "step_id", "passes_filter", F.posexplode("actions").alias("dim", "v")).withColumn("v", F.round("v", 6))
 
 
+@query("passing_steps", "SELECT 'rec' || label || '--' || vec_id || '--' || vec_id % 4 AS step_id, 8 AS width FROM embeddings WHERE vec_id % 4 < 1 + label % 3")
+def passing_steps(spark, sf_dir):
+    """The recorded steps that pass, without the flag."""
+    return lookup.passing(recorded(spark, sf_dir)).select("step_id", F.size("actions").alias("width"))
+
+
+PLACE = "vec_id // 64 AS y, vec_id % 64 AS x"
+WAVE = "CASE WHEN i % 8 < 4 THEN sin(p * pow(1e4, -(i % 4) / 3e0)) ELSE cos(p * pow(1e4, -(i % 4) / 3e0)) END"
+
+
+@query("sincos_grid", f"SELECT vec_id, CAST(i AS INT) AS dim, round({WAVE}, 5) AS v FROM (SELECT vec_id, i, CASE WHEN i < 8 THEN x ELSE y END AS p FROM (SELECT vec_id, {PLACE} FROM embeddings), (SELECT unnest(range(16)) AS i))")
+def sincos_grid(spark, sf_dir):
+    """Places on a grid 64 wide as waves of 16 dimensions."""
+    made = vector.sincos_embedding_2d(F.floor(F.col("vec_id") / 64), F.col("vec_id") % 64, 16)
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(made).alias("dim", "v")).withColumn("v", F.round("v", 5))
+
+
+@query("observation_masks", "SELECT conv_id, turn, slot, CASE WHEN slot = 'base_0_rgb' AND turn % 2 = 0 THEN role = 'user' ELSE true END AS mask FROM conversations, (SELECT unnest(['base_0_rgb', 'left_wrist_0_rgb', 'right_wrist_0_rgb']) AS slot)")
+def observation_masks(spark, sf_dir):
+    """Masks that a record gives, and true for the others."""
+    image = F.struct(F.lit(b"\0").alias("data"))
+    rows = table(spark, sf_dir, "conversations").select(
+        "conv_id", "turn",
+        F.create_map(*(x for s in (*pipeline.SLOTS, "other") for x in (F.lit(s), image))).alias("image"),
+        F.when(F.col("turn") % 2 == 0, F.create_map(F.lit("base_0_rgb"), F.col("role") == "user")).alias("image_mask"),
+    )
+    made = pipeline.observed()(rows).where(F.size("image") == 3)
+    return made.select("conv_id", "turn", F.explode("image_mask").alias("slot", "mask"))
+
+
 @query(
     "two_arm_vectors",
     """WITH e AS (SELECT vec_id, a, d, CAST(embedding[a * 8 + d + 1] AS DOUBLE) AS j, CAST(embedding[a * 8 + 7] AS DOUBLE) AS g6, CAST(embedding[a * 8 + 8] AS DOUBLE) AS g7 FROM embeddings, (SELECT unnest(range(2)) AS a), (SELECT unnest(range(7)) AS d))

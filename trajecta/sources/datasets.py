@@ -107,12 +107,35 @@ def synthetic(spark: SparkSession, n: int, fields: dict[str, tuple[str, int]], s
     return spark.range(n).select("id", *(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), element(name, kind)).alias(name) for name, (kind, size) in fields.items()))
 
 
-def parameter_table(spark: SparkSession, rows: Sequence[tuple[str, str, list[int], float]]) -> DataFrame:
-    """path, dtype, shape, value of stored parameters; a last part `value` that all paths share is cut off."""
-    df = spark.createDataFrame(list(rows), "path string, dtype string, shape array<int>, value double")
-    if rows and all(r[0].endswith("/value") for r in rows):
-        df = df.withColumn("path", F.regexp_replace("path", "/value$", ""))
-    return df
+def read_parameters(spark: SparkSession, path: str) -> DataFrame:
+    """path, dtype, shape and bytes of the arrays in a stored parameter file (.npz), or in all such files below a folder; a last part `value` that all paths
+    share is cut off. Only the arrays' headers are unpacked; an array of objects is an error."""
+
+    def run(batches):
+        import io
+        import zipfile
+
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            for content in batch.column(0):
+                rows = []
+                with zipfile.ZipFile(io.BytesIO(content.as_py())) as file:
+                    for name in file.namelist():
+                        with file.open(name) as part:
+                            major, _ = np.lib.format.read_magic(part)
+                            shape, _, kind = (np.lib.format.read_array_header_1_0 if major == 1 else np.lib.format.read_array_header_2_0)(part)
+                        if kind.hasobject:
+                            raise ValueError(f"{name} is an array of objects")
+                        rows.append((name.removesuffix(".npy"), kind.name, list(shape), int(np.prod(shape, dtype=np.int64)) * kind.itemsize))
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, (pa.string(), pa.string(), pa.list_(pa.int64()), pa.int64()))], ["path", "dtype", "shape", "bytes"])
+
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.npz").load(path)
+    found = files.select("content").mapInArrow(run, "path string, dtype string, shape array<long>, bytes long")
+    shared = found.agg(F.every(F.endswith("path", F.lit("/value"))).alias("_shared"))
+    cut = F.when(F.col("_shared"), F.regexp_replace("path", "/value$", "")).otherwise(F.col("path"))
+    return found.join(F.broadcast(shared)).withColumn("path", cut).drop("_shared")
 
 
 def write_timings(df: DataFrame, path: str) -> None:
@@ -127,13 +150,6 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
-def records(df: DataFrame, inputs: str = "inputs", outputs: str = "outputs", step: str = "step") -> DataFrame:
-    """Policy steps flattened to inputs/... and outputs/... columns, in step order."""
-    from trajecta.operators.structure import flatten
-
-    return flatten(df.select(step, inputs, outputs)).orderBy(step)
-
-
 def needs(library: str) -> None:
     """Readers of HDF5, TFRecord and MP4 depend on libraries that need not be there."""
     if importlib.util.find_spec(library) is None:
