@@ -5,14 +5,21 @@ from __future__ import annotations
 # Words are runs of anything but the six white-space bytes.
 WORDS = "regexp_extract_all(coalesce({text}, ''), '[^\\x20\\x09-\\x0D]+')"
 
+# Sets that are similar enough share one of their rarest shingles, a sixth of each set; only those pairs are counted in full.
 OP1 = f"""WITH RECURSIVE w AS (SELECT doc_id, {WORDS.format(text="translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")} AS w FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) END) AS s FROM w),
+t AS (SELECT doc_id, len(w) AS n, unnest(w) AS a, unnest(range(len(w))) AS i FROM w WHERE len(w) >= 5),
+z AS (SELECT doc_id, n, i, concat_ws(' ', a, lead(a, 1) OVER o, lead(a, 2) OVER o, lead(a, 3) OVER o, lead(a, 4) OVER o) AS x FROM t WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+y AS (SELECT doc_id, list(DISTINCT x) AS s FROM z WHERE i <= n - 5 GROUP BY doc_id),
+s AS (SELECT w.doc_id, CASE WHEN len(w.w) = 0 THEN [] WHEN len(w.w) < 5 THEN [array_to_string(w.w, ' ')] ELSE y.s END AS s FROM w LEFT JOIN y ON y.doc_id = w.doc_id),
 e AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM s WHERE len(s) > 0),
 k AS (SELECT n, md5(array_to_string(list_sort(s), chr(10))) AS h, min(doc_id) AS rep FROM (SELECT doc_id, s, len(s) AS n FROM s WHERE len(s) > 0) GROUP BY n, h),
 m AS (SELECT s.doc_id, k.rep FROM s JOIN k ON k.n = len(s.s) AND k.h = md5(array_to_string(list_sort(s.s), chr(10))) WHERE len(s.s) > 0),
 r AS (SELECT e.* FROM e JOIN (SELECT DISTINCT rep FROM m) ON e.doc_id = rep),
-p AS (SELECT a.doc_id AS x, b.doc_id AS y, any_value(a.n) AS n, any_value(b.n) AS o, count(*) AS c FROM r a JOIN r b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-l AS (SELECT x, y FROM p WHERE 100 * c >= 85 * (n + o - c)),
+q AS (SELECT r.*, row_number() OVER (PARTITION BY r.doc_id ORDER BY f.c, r.x) AS k FROM r JOIN (SELECT x, count(*) AS c FROM r GROUP BY x) f ON f.x = r.x),
+h AS (SELECT * FROM q WHERE k <= n - (85 * n + 99) // 100 + 1),
+p AS (SELECT DISTINCT a.doc_id AS x, b.doc_id AS y FROM h a JOIN h b ON a.x = b.x AND a.doc_id < b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+v AS (SELECT x, y, len(a.s) AS n, len(b.s) AS o, len(list_intersect(a.s, b.s)) AS c FROM p JOIN s a ON a.doc_id = x JOIN s b ON b.doc_id = y),
+u AS (SELECT x, y FROM v WHERE 100 * c >= 85 * (n + o - c)), l AS (SELECT x, y FROM u UNION ALL SELECT y, x FROM u),
 c AS (SELECT DISTINCT rep AS node, rep AS root FROM m UNION SELECT l.y, c.root FROM c JOIN l ON l.x = c.node WHERE c.root < l.y),
 g AS (SELECT node, min(root) AS root FROM c GROUP BY node)
 SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, coalesce(g.root, s.doc_id) AS component_id, s.doc_id = coalesce(g.root, s.doc_id) AS kept
