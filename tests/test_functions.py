@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -144,6 +145,19 @@ def test_wire_any(value):
     assert wire.unpack(wire.pack(value)) == value
 
 
+def test_wire_vectors_at_once(spark):
+    """Messages are those of `pack`, whatever the lengths; messages framed otherwise are read too."""
+    vectors = [None, [], [1.5, -0.0, math.inf], [2.0] * 31, [0.5] * 40, [1.0] * 9000, [3.0]]
+    got = wire.packed(pa.array([[9.0], *vectors], pa.list_(pa.float64())).slice(1)).to_pylist()
+    assert got == [None if v is None else wire.pack(np.array(v, np.float64)) for v in vectors]
+    others = [np.arange(6, dtype=np.int32).reshape(2, 3), np.array([1.0, 2.0], ">f8"), np.array([[1.0, 2.0]]), np.float32(2.5), 7]
+    back = wire.unpacked(pa.array([*got, *map(wire.pack, others)], pa.binary())).to_pylist()
+    assert back == [*vectors, [0, 1, 2, 3, 4, 5], [1, 2], [1, 2], [2.5], [7]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vectors)], "i int, v array<double>")
+    assert dict(df.select("i", wire.unpack_vector(wire.pack_vector(F.col("v")))).collect()) == dict(enumerate(vectors))
+    assert "ArrowEvalPython" in df.select(wire.pack_vector(F.col("v")))._jdf.queryExecution().toString()
+
+
 def test_schedule_ends(spark):
     assert one(spark, metrics.cosine(F.lit(0))) == pytest.approx(2.5e-5 / 1001)
     assert one(spark, metrics.cosine(F.lit(1000))) == pytest.approx(2.5e-5)
