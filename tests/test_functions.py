@@ -1,5 +1,6 @@
 """Literal cases of vectors, text, images and messages."""
 
+import hashlib
 import math
 
 import numpy as np
@@ -10,6 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from trajecta.functions import images, metrics, text, vector, wire
+from trajecta.plans import queries_vectors
 
 
 def one(spark, expression, **columns):
@@ -158,6 +160,27 @@ def test_wire_vectors_at_once(spark):
     assert "ArrowEvalPython" in df.select(wire.pack_vector(F.col("v")))._jdf.queryExecution().toString()
 
 
+def test_image_stacks(spark):
+    """A stack gives what its images give one by one, and the queries deal their rows out before the pixel work."""
+    rng = np.random.default_rng(0)
+    for h, w, c in ((1, 1, 3), (4, 6, 3), (12, 6, 3), (37, 23, 1), (9, 30, 4)):
+        x = rng.integers(0, 256, (5, h, w, c)).astype(np.uint8)
+        for wrist in (False, True):
+            assert (images.all_augmented(x, range(5), wrist) == [images.augmented(i, s, wrist) for s, i in enumerate(x)]).all()
+        for body in (images.with_pad, images.with_pad_even, images.bicubic):
+            assert (body(x, 8, 10) == [body(i, 8, 10) for i in x]).all()
+    # Of the code before stacks.
+    x = (np.arange(7 * 6 * 3).reshape(7, 6, 3) * 37 % 256).astype(np.uint8)
+    assert hashlib.sha256(images.augmented(x, int(x.sum())).tobytes()).hexdigest() == "59be7c1ca5cc46d548304ec43e2139460e0644317f2f2965de09b2c5baae73bc"
+    shapes = [(2, 3, 3), None, (4, 1, 3), (2, 3, 3), (1, 1, 4)]
+    made = [None if s is None else rng.integers(0, 256, s).astype(np.uint8) for s in shapes]
+    df = spark.createDataFrame([(i, x is not None and (x.tobytes(), *x.shape) or None) for i, x in enumerate(made)], f"n int, i {images.IMAGE}")
+    got = {r.n: r.y for r in df.select("n", images.resize_with_pad(F.col("i"), 5, 5).alias("y")).collect()}
+    for i, x in enumerate(made):
+        assert got[i].data == (None if x is None else images.with_pad(x, 5, 5).tobytes())
+    assert "Repartition" in queries_vectors.image_augment(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
 def test_schedule_ends(spark):
     assert one(spark, metrics.cosine(F.lit(0))) == pytest.approx(2.5e-5 / 1001)
     assert one(spark, metrics.cosine(F.lit(1000))) == pytest.approx(2.5e-5)
