@@ -49,6 +49,17 @@ def test_backtracking_encoder(samples):
         assert own.decode(ids) == library.decode(want, skip_special_tokens=False).encode()
 
 
+def test_word_encoder_by_pieces(samples):
+    """Whole slices are cut into pieces, each met once whatever marks or case it has in the text."""
+    own, library, seen = bpe.WordBpe(WORD), Tokenizer.from_file(WORD), []
+    own.cutter.known.encode = lambda piece, f=own.cutter.known.encode: seen.append(piece) or f(piece)
+    part = [*samples[:300], *samples[-20:], "Word word, WORD! (word) word..."]
+    flat, edge = own.encode_all(*tx.buffers(pa.array(part, pa.string())))
+    for t, a, b in zip(part, edge[:-1], edge[1:]):
+        assert flat[a:b].tolist() == library.encode(t, add_special_tokens=False).ids
+    assert len(seen) == len(set(seen)) and not {b"Word", b"word,", b"WORD!", b"(word)"} & set(seen)
+
+
 def test_bpe_columns(docs, empty):
     ids = bpe.encode_column(docs, WORD)
     back = {r.doc_id: r.text for r in bpe.decode_column(ids, WORD).collect()}

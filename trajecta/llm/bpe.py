@@ -15,6 +15,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 
 import ahocorasick
@@ -26,6 +27,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex, normalizers, pre_tokenizers
 
 from trajecta.llm import text as tx
+from trajecta.llm import tokens
 
 CACHE_WORDS = 200_000
 
@@ -80,9 +82,8 @@ class WordBpe:
         vocab, suffix = model["vocab"], model["end_of_word_suffix"]
         letters = byte_letters()
         # One code point per start symbol: a byte, or a byte that ends its word.
-        inner = {letters[b]: chr(0x100 + b) for b in range(256)}
-        final = {letters[b]: chr(0x200 + b) for b in range(256)}
-        self.inner = [inner[letters[b]] for b in range(256)]
+        inner = {letters[b]: chr(b) for b in range(256)}
+        final = {letters[b]: chr(0x100 + b) for b in range(256)}
         self.final = [final[letters[b]] for b in range(256)]
 
         def coded(token: str) -> str:
@@ -109,11 +110,13 @@ class WordBpe:
             self.merged[pair], self.halves[i], self.rank[i] = i, pair, r
         self.automaton = ahocorasick.Automaton()
         for word, i in self.coded.items():
-            self.automaton.add_word(word[::-1], (len(word), i))
+            self.automaton.add_word(word[::-1], i)
         self.automaton.make_automaton()
         self.pairs: Cache = Cache(self._compatible)
         self.pieces: Cache = Cache(self._piece)
-        self.words: Cache = Cache(self._word)
+        # Texts are cut as for the library; a piece of letters that the normaliser leaves as they are is a piece of the pattern.
+        self.cutter = tokens.Encoder(path)
+        self.cutter.known = tokens.Known(self._word)
         special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.special = special
         self.special_pattern = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
@@ -147,18 +150,13 @@ class WordBpe:
 
     def _piece(self, piece: bytes) -> tuple[int, ...]:
         """Ids of one piece of the split pattern."""
-        inner = self.inner
-        word = "".join([inner[b] for b in piece[:-1]]) + self.final[piece[-1]]
+        word = piece[:-1].decode("latin-1") + self.final[piece[-1]]
         n = len(word)
-        longest = [-1] * n
-        size = [0] * n
-        for end, (length, token) in self.automaton.iter(word[::-1]):
-            start = n - 1 - end
-            if length > size[start]:
-                size[start], longest[start] = length, token
+        # By place from the end. The automaton names the tokens that end at a place from the longest on; the last entry of a key stays.
+        longest = dict([*self.automaton.iter(word[::-1])][::-1])
         open_at = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
-        at, token = 0, longest[0]
+        at, token = 0, longest.get(n - 1, -1)
         pairs, length, shorter = self.pairs, self.length, self.shorter
         while at < n:
             while token >= 0 and not (open_at[at + length[token]] and (not out or pairs[out[-1], token])):
@@ -166,7 +164,7 @@ class WordBpe:
             if token >= 0:
                 out.append(token)
                 at += length[token]
-                token = longest[at] if at < n else -1
+                token = longest.get(n - 1 - at, -1)
             else:
                 open_at[at] = 0
                 token = out.pop()
@@ -184,8 +182,12 @@ class WordBpe:
         return out
 
     def _word(self, word: bytes) -> bytes:
-        """Little-endian 32-bit ids of a run without white space."""
+        """Little-endian 32-bit ids of a piece that the cutter makes."""
+        if word.isalpha() and word.islower():
+            return array("I", self._piece(word)).tobytes()
         chunk = word.decode("utf-8", "replace")
+        if tokens.FOLDED_WORD.fullmatch(chunk) and chunk.lower() == chunk:
+            return array("I", self._piece(word)).tobytes()
         ids: list[int] = []
         at = 0
         if self.special_pattern is not None and "<|" in chunk:
@@ -194,10 +196,14 @@ class WordBpe:
                 ids.append(self.special[m[0]])
                 at = m.end()
         ids += self._plain(chunk[at:])
-        return np.array(ids, "<u4").tobytes()
+        return array("I", ids).tobytes()
+
+    def encode_all(self, raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts raw[at[i]:at[i+1]] one after another, and the n + 1 places where each text's begin."""
+        return self.cutter.encode(raw, at)
 
     def encode(self, text: bytes) -> np.ndarray:
-        return np.frombuffer(b"".join([self.words[w] for w in text.split()]), "<u4")
+        return self.encode_all(np.frombuffer(text, np.uint8), np.array([0, len(text)]))[0]
 
     def decode(self, ids: np.ndarray) -> bytes:
         return self.decoder.gather(ids)[0].tobytes()[:-1]
@@ -214,10 +220,8 @@ def encode_column(df: DataFrame, path: str, key: str = "doc_id", column: str = "
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for rows, raw, at in tx.slices(batches, column):
-            ids = [bpe.encode(raw[a:b].tobytes()) for a, b in zip(at[:-1], at[1:])]
-            offsets = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-            values = pa.array(np.concatenate(ids).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], [key, "ids"])
+            ids, edge = bpe.encode_all(raw, at)
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.ListArray.from_arrays(pa.array(edge, pa.int32()), pa.array(ids.astype(np.int32)))], [key, "ids"])
 
     return df.select(F.col(key), F.col(column).alias(column)).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, ids array<int>")
 
@@ -240,17 +244,12 @@ def round_trip(df: DataFrame, path: str, key: str = "doc_id", column: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path)
         for rows, raw, at in tx.slices(batches, column):
-            data = raw.tobytes()
-            words = bpe.words
-            parts = [b"".join([words[w] for w in data[a:b].split()]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
-            counts = np.array([len(x) // 4 for x in parts], np.int64)
-            ids = np.frombuffer(b"".join(parts), "<u4")
-            ends = np.cumsum(counts)
+            ids, edge = bpe.encode_all(raw, at)
             digests = []
             for table in (bpe.decimals, bpe.decoder):
                 flat, place = table.gather(ids)
-                view = memoryview(flat)
-                digests.append([hashlib.sha256(view[place[e - n] : max(place[e - n], place[e] - 1)]).hexdigest() for n, e in zip(counts.tolist(), ends.tolist())])
-            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(counts), *(pa.array(x, pa.string()) for x in digests)], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
+                view, cut = memoryview(flat), place[edge].tolist()
+                digests.append([hashlib.sha256(view[a : max(a, b - 1)]).hexdigest() for a, b in zip(cut[:-1], cut[1:])])
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(edge)), *(pa.array(x, pa.string()) for x in digests)], [key, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return df.select(F.col(key), F.col(column).alias(column)).mapInArrow(run, f"`{key}` {df.schema[key].dataType.simpleString()}, n_tokens long, ids_sha256 string, decoded_sha256 string")
